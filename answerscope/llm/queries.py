@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import packing, toxicity
+from answerscope.llm import near_dedup, packing, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -29,9 +29,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(written(digest, "packing-pieces"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(documents(spark, sf_dir), size=3, percent=85).drop("text_hash")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
