@@ -34,6 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
+
+
 class Powers:
     """Tables of BASE^i and BASE^-i that grow on demand."""
 
@@ -70,10 +74,16 @@ def split(texts: list[bytes | None], lower: bool = False) -> Words:
     if inside[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]  # the last byte is a line feed, so that every word ends
-    up, down = TABLES.upto(len(data))
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((LOWER[data] if lower else data).astype(U) * up + np.zeros(1, dtype=U), out=sums[1:])
-    word = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    word = np.empty(len(start), dtype=U)
+    cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(data), BLOCK)), [len(start)]]))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # a block at a time, to bound memory
+        lo, hi = int(start[i]), int(end[j - 1])
+        part = LOWER[data[lo:hi]] if lower else data[lo:hi]
+        up, down = TABLES.upto(len(part))
+        sums = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum(part * up, out=sums[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        word[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
     return Words(data, start, end, word, np.searchsorted(start, limits))
 
 
