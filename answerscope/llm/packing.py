@@ -17,8 +17,10 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ END_ID = 1
 SALTS = 64
 #: Words that a task remembers the ids of; a bound on memory only.
 CACHE_WORDS = 500_000
+#: Letters whose lower case and composed form are single letters, with one mark after them.
+PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)$", re.M)
+ODD_SPACE, OTHER = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\x00-\xff]")
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -74,43 +79,49 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain: dict[str, None] = {}
-        odd, marked = [], []
-        for w in new:
-            base = w[:-1] if w[-1] in self.marks else w
-            if base.isalpha() and max(base) < "Ā":
-                plain[base] = None
-                if base is not w:
-                    marked.append(w)
-            else:
-                odd.append(w)
-        words_ = [w for w in plain if w not in self.known]
-        self.known.update(zip(words_, self._letters(words_), strict=True))
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+        new = words.difference(self.known)
+        found = PLAIN.findall("\n".join(new))
+        plain = list({base for base, _ in found}.difference(self.known))
+        self.known.update(zip(plain, self._letters(plain), strict=True))
+        marked = {base + mark: self.known[base] + self.marks[mark] for base, mark in found if mark}
+        self.known.update(marked)
+        odd = list(new.difference(self.known))
         self.known.update(zip(odd, self._raw(odd), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if any("\x1c" <= c <= "\x1f" for c in set(t)) else t.split() for t in texts]
-        self.learn({w for words in split if words for w in words})
+        split = [self.words(t) for t in texts]
+        self.learn(set().union(*filter(None, split)))
         get = self.known.__getitem__
         for text, words in zip(texts, split, strict=True):
             yield self._raw([text])[0] if words is None else b"".join(map(get, words))
 
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        """None where white space means other things to Python than to the tokenizer."""
+        if ODD_SPACE.search(text):
+            return None
+        # in these letters lower case is one to one, and the tokenizer takes it anyway
+        return text.split() if OTHER.search(text) or "<|" in text else text.lower().split()
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One a Python worker, so that the words known outlive a task."""
+    return WordEncoder(path)
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit)."""
 
     def cut(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 1000):
+            for at in range(0, len(ids), 500):
                 rows = []
-                for doc_id, raw in zip(ids[at : at + 1000], encoder.encode(texts[at : at + 1000].to_pylist()), strict=True):
+                for doc_id, raw in zip(ids[at : at + 500], encoder.encode(texts[at : at + 500].to_pylist()), strict=True):
                     raw += end
                     n = len(raw) // 4
                     rows += [(doc_id, s, min(window, n - s), n, raw[4 * s : 4 * (s + window)]) for s in range(0, n, window)]
