@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import gif, near_dedup, packing, substring_dedup, toxicity
+from answerscope.llm import gif, near_dedup, packing, pii, secrets, substring_dedup, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -29,6 +29,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(written(digest, "packing-pieces"))
 
 
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def counted(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    return [F.size(of_kinds(spans, (k,))).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans, base = secrets.find(documents(spark, sf_dir)), F.col("spans"), ("assign", "access", "hex")
+    digest = F.sha2(joined(of_kinds(spans, base)), 256).alias("base_sha256")
+    return found.select("doc_id", *counted(spans, base), digest, joined(spans).alias("spans"), *counted(spans, ("random",)))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found, spans = pii.with_spans(docs), F.col("spans")
+    digest = F.sha2(joined(of_kinds(spans, pii.BASE_KINDS)), 256).alias("base_sha256")
+    return found.select("doc_id", *counted(spans, pii.BASE_KINDS), digest, joined(spans).alias("spans"))
+
+
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(whole_text(), "utf-8")
     docs = documents(spark, sf_dir).select("doc_id", text.alias("raw"))
@@ -64,6 +89,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op4_secrets": op4_secrets,
+    "op5_pii": op5_pii,
     "op7_gif": op7_gif,
     "op8_near_dedup": op8_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
