@@ -16,8 +16,9 @@ are built in two steps, so that a large group of near copies costs its size
 and not its square: first each posting list is linked to its central member
 (the one whose values are the most common), and the links give components;
 then only members of one list that are still in different components are
-paired. No link between components is lost by that, and links inside of one
-don't matter. Defined results: null and empty texts, and texts without words,
+paired, and of these only such as share enough shingles with any others at
+all. No link between components is lost by that, and links inside of one don't
+matter. Defined results: null and empty texts, and texts without words,
 have no shingles and are linked with nothing; a text of fewer words than a
 shingle is one shingle; equal texts meet in one class; repeated ids are
 treated row by row; a null id forms a component like any other row, and loses
@@ -111,13 +112,32 @@ def classes(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, signature array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = reps.join(sides, "class", "left_semi").select("class", "text_hash")
+def texts_of(classes_: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, text): one text of each class in ``classes_``."""
+    needed = reps.select("class", "text_hash").join(classes_, "class", "left_semi")
     texts = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("text"))
     texts = texts.join(needed.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    texts = written(needed.join(texts, "text_hash").select("class", "text"), "near-texts")
+    return written(needed.join(texts, "text_hash").select("class", "text"), "near-texts")
+
+
+def lonely(texts: DataFrame, size: int) -> DataFrame:
+    """(class, n_lonely): how many of its shingles a class shares with no other class of ``texts``."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in blocks(batch, 1):
+                part = batch.slice(lo, hi - lo)
+                sets = shingle_sets(part.column(1).to_pylist(), size)
+                own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.concatenate(sets).astype(np.int64))], names=["class", "shingle"])
+
+    each = texts.select("class", "text").mapInArrow(run, "class long, shingle long")
+    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return once.groupBy("class").agg(F.count("*").alias("n_lonely"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -168,16 +188,22 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     star = posts.join(centre.select("value", "centre"), "value").select(
         F.col("centre.class").alias("a"), F.col("centre.n_shingles").alias("n_a"), F.col("centre.signature").alias("sign_a"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b")
     )
-    links = written(confirmed(written(candidates(star), "near-stars"), docs, reps, size, percent), "near-links")
+    stars = written(candidates(star), "near-stars")
+    sides = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    links = written(confirmed(stars, texts_of(sides, docs, reps), size, percent), "near-links")
     labels = components(links).withColumnRenamed("node", "class")
 
     labelled = written(posts.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-labelled")
     mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = labelled.join(mixed.select("value"), "value", "left_semi")
-    x = open_.select("value", F.col("label").alias("l_a"), F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sign_a"))
-    y = open_.select("value", F.col("label").alias("l_b"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b"))
-    across = candidates(x.join(y, "value").where("l_a < l_b and a <> b"))
-    more = written(confirmed(written(across, "near-across"), docs, reps, size, percent), "near-more")
+    open_ = written(labelled.join(mixed.select("value"), "value", "left_semi"), "near-open")
+    texts = texts_of(open_.select("class").distinct(), docs, reps)
+    # two sets can't share more than what either shares with any other
+    shared = written(open_.join(lonely(texts, size), "class", "left").withColumn("u", F.col("n_shingles") - F.coalesce("n_lonely", F.lit(0))).where(F.col("u") * 100 >= F.col("n_shingles") * percent), "near-shared")
+    x = shared.select("value", F.col("label").alias("l_a"), F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("u").alias("u_a"), F.col("signature").alias("sign_a"))
+    y = shared.select("value", F.col("label").alias("l_b"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("u").alias("u_b"), F.col("signature").alias("sign_b"))
+    enough = F.least("u_a", "u_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    across = written(candidates(x.join(y, "value").where("l_a < l_b and a <> b").where(enough)), "near-across")
+    more = written(confirmed(across, texts, size, percent), "near-more")
     labels = components(links.unionByName(more)).withColumnRenamed("node", "class")
 
     grouped = rows.select("doc_id", "text_hash", "n_shingles", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))

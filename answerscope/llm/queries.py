@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import gif, near_dedup, packing, pii, secrets, substring_dedup, toxicity
+from answerscope.llm import fingerprints, gif, line_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -29,6 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(written(digest, "packing-pieces"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = mixing.weigh(documents(spark, sf_dir).drop("n_chars"))
+    return weighed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -54,6 +59,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counted(spans, pii.BASE_KINDS), digest, joined(spans).alias("spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_boilerplate(documents(spark, sf_dir))
+    return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(whole_text(), "utf-8")
     docs = documents(spark, sf_dir).select("doc_id", text.alias("raw"))
@@ -81,6 +91,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(documents(spark, sf_dir), size=3, percent=85).drop("text_hash")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = fingerprints.with_next(documents(spark, sf_dir))
+    changed = linked.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    signed = changed.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    own = F.col("fingerprint")
+    near_edited, near_next = fingerprints.likeness(own, F.col("edited_fingerprint")), fingerprints.likeness(own, F.col("next_fingerprint"))
+    return signed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -89,11 +108,65 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_gif": op7_gif,
     "op8_near_dedup": op8_near_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def line_sql() -> str:
+    """Exact spread of every line; what remove_boilerplate does."""
+    d = line_dedup
+    return f"""
+    WITH l AS (
+      SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+    ), bad AS (
+      SELECT trim(line) AS line FROM l WHERE length(trim(line)) >= {d.LEAST_CHARS} GROUP BY 1 HAVING count(DISTINCT source) >= {d.SITES}
+    ), marked AS (
+      SELECT l.*, bad.line IS NOT NULL AND length(trim(l.line)) >= {d.LEAST_CHARS} AS gone FROM l LEFT JOIN bad ON trim(l.line) = bad.line
+    ), each AS (
+      SELECT doc_id, any_value(text) AS text, count(*) AS n, count(*) FILTER (gone) AS n_gone, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept,
+        coalesce(sum(length(line)) FILTER (NOT gone), 0) >= {1 - d.MOST_SHARE} * sum(length(line)) AS cut
+      FROM marked GROUP BY doc_id
+    )
+    SELECT doc_id, n AS n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed, sha256(CASE WHEN cut THEN coalesce(kept, '') ELSE text END) AS text_sha256 FROM each
+    """
+
+
+def mixing_sql() -> str:
+    """The same raking, one window per margin and round."""
+    m = mixing
+    cases = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in m.TOPICS)
+    steps = [f"""
+    d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+    e AS (SELECT doc_id, source, lang, CASE WHEN t = '' THEN 'empty' {cases} ELSE 'prose' END AS topic,
+      len(regexp_extract_all(t, '[^ \t\n\v\f\r]+')) AS n_tokens FROM d),
+    cells AS MATERIALIZED (SELECT coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, topic, sum(n_tokens)::DOUBLE AS n FROM e GROUP BY ALL HAVING n > 0)"""]
+    for margin in m.MARGINS:
+        steps.append(f"""
+    t_{margin} AS MATERIALIZED (SELECT v, r * sum(n) OVER () / sum(r) OVER () AS target FROM (SELECT {margin} AS v, sum(n) AS n, pow(sum(n), {m.TEMPER[margin]}) AS r FROM cells GROUP BY 1))""")
+    last = "(SELECT *, n AS w FROM cells)"
+    for i in range(m.ROUNDS):
+        for margin in m.MARGINS:
+            name = f"w_{margin}_{i}"
+            steps.append(f"""
+    {name} AS MATERIALIZED (SELECT source, lang, topic, n, w * target / sum(w) OVER (PARTITION BY {margin}) AS w FROM {last} c JOIN t_{margin} ON {margin} = v)""")
+            last = name
+    rate = str(m.KEEP)
+    for i in range(m.FILLS):
+        steps.append(f"""
+    r_{i} AS MATERIALIZED (SELECT CASE WHEN rest > 0 THEN greatest(r0, ({m.KEEP} * n - filled) / rest) ELSE r0 END AS r FROM (
+      SELECT sum(n) AS n, sum(CASE WHEN w * {rate} >= n THEN n ELSE 0 END) AS filled, sum(CASE WHEN w * {rate} >= n THEN 0 ELSE w END) AS rest, any_value({rate}) AS r0 FROM {last}))""")
+        rate = f"(SELECT r FROM r_{i})"
+    return f"""WITH {",".join(steps)},
+    p AS (SELECT e.*, coalesce(w / n, 1.0) AS weight FROM e LEFT JOIN {last} c ON coalesce(e.source, '(none)') = c.source AND coalesce(e.lang, '(none)') = c.lang AND e.topic = c.topic),
+    q AS (SELECT *, least(1.0, weight * {rate}) AS probability FROM p)
+    SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+      ('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled FROM q"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing_sql(), "op6_line_dedup": line_sql()}
