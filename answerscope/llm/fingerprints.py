@@ -26,6 +26,8 @@ from answerscope.llm.common import SPACE, whole_text
 #: Bins, a power of two; bits stored of each, as one hexadecimal digit.
 BINS, BITS, SHINGLE = 128, 4, 5
 SHIFT = 63 - (BINS.bit_length() - 1)
+#: Probes that are tried one by one; a fuller walk follows where they all hit empty bins.
+PROBES = 8
 #: Range blocks into which documents are dealt to find each one's neighbour.
 BLOCKS = 256
 
@@ -48,19 +50,17 @@ def fingerprint(text: Column, bins: int = BINS, size: int = SHINGLE) -> Column:
     """``bins`` hexadecimal digits."""
     marks = F.array(*[F.lit((b << SHIFT) + (1 << SHIFT) - 1).cast("long") for b in range(bins)])
 
-    def dense(least: Column) -> Column:
-        empty = lambda v: v.bitwiseAND(F.lit((1 << SHIFT) - 1)) == (1 << SHIFT) - 1
-        held = F.filter(F.transform(least, lambda v, i: F.when(empty(v), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    def probe(known: Column, i: Column, a: Column | int) -> Column:
+        # start and step of the walk come from the bin's number; an odd step visits all bins before it repeats one
+        return F.get(known, (i * 40503 + 12829 + ((i * 24593 + 7919) % (bins // 2) * 2 + 1) * a) % bins)
 
-        def fill(value: Column, i: Column) -> Column:
-            # start and step of the walk come from the bin's number; an odd step visits all bins before it repeats one
-            start, step = i * 40503 + 12829, (i * 24593 + 7919) % (bins // 2) * 2 + 1
-            tries = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda a: F.get(least, (start + a * step) % bins))
-            return F.when(empty(value), F.get(F.filter(tries, lambda v: ~empty(v)), 0)).otherwise(value)
+    def fill(known: Column, i: Column) -> Column:
+        later = F.filter(F.transform(F.sequence(F.lit(PROBES), F.lit(bins - 1)), lambda a: probe(known, i, a)), lambda v: v.isNotNull())
+        return F.coalesce(F.get(known, i), *[probe(known, i, a) for a in range(PROBES)], F.get(later, 0))
 
-        filled = F.when(F.size(held) == bins, least).otherwise(F.transform(least, fill))
-        digits = F.array_join(F.transform(filled, lambda v: F.lower(F.hex(v.bitwiseAND(F.lit((1 << BITS) - 1))))), "")
-        return F.when(F.size(held) == 0, F.lit("0" * bins)).otherwise(digits)
+    def dense(known: Column) -> Column:
+        digits = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.hex(fill(known, i).bitwiseAND(F.lit((1 << BITS) - 1))))
+        return F.when(F.exists(known, lambda v: v.isNotNull()), F.lower(F.array_join(digits, ""))).otherwise(F.lit("0" * bins))
 
     def first(sorted_: Column) -> Column:
         own = lambda v: F.shiftright(v, SHIFT)
@@ -68,12 +68,19 @@ def fingerprint(text: Column, bins: int = BINS, size: int = SHINGLE) -> Column:
 
     hashes = F.sort_array(F.concat(shingle_hashes(text, size), marks))
     least = F.get(F.transform(F.array(hashes), first), 0)
-    return F.get(F.transform(F.array(least), dense), 0)
+    mark = F.lit((1 << SHIFT) - 1)
+    known = F.transform(least, lambda v: F.when(v.bitwiseAND(mark) != mark, v))
+    return F.get(F.transform(F.array(known), dense), 0)
 
 
 def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     """Estimated Jaccard likeness of the texts of two fingerprints, corrected for chance agreement."""
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1)))) / bins
+    same = F.lit(0)
+    for at in range(1, bins + 1, 8):  # eight digits are 32 bits; those of equal digits are all zero
+        x = F.conv(F.substring(a, at, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, at, 8), 16, 10).cast("long"))
+        some = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseAND(F.lit(0x11111111))
+        same = same + 8 - F.bit_count(some)
+    same = same / bins
     chance = 1.0 / (1 << BITS)
     none = F.lit("0" * bins)
     return F.when(a == b, 1.0).when((a == none) | (b == none), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))

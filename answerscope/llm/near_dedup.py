@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from answerscope.llm import words
@@ -210,3 +211,13 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     least = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component; of rows repeated in id and text, one."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text_hash")
+    kept = link(docs, size, percent).where("kept").withColumnRenamed("text_hash", "_text_hash").select(key.alias("_key")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64(whole_text())).withColumn("_key", key)
+    # by the same key as the join, so that rows move once
+    first = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_text_hash"))).where("_n = 1")
+    return first.join(kept, "_key", "left_semi").drop("_key", "_n", "_text_hash")

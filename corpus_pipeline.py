@@ -1,8 +1,59 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages over ``documents``, each a training-data operator.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
+reread as the next one's documents. All but the last return the columns of
+documents. SQL cannot express the first stage; tests hold the pipeline against
+brute-force versions of its stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from answerscope.llm import line_dedup, mixing, near_dedup, packing, toxicity
+from answerscope.llm.common import documents, written
+from answerscope.llm.queries import word_tokenizer
+
+#: Score from which a document is rejected.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC; the model learns from labelled rows outside the held-out fold."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their cross-site lines; n_chars follows the text."""
+    cut = line_dedup.remove_boilerplate(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_dedup.drop_duplicates(docs, size=5, percent=80).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by raked weights of source, language and topic."""
+    return mixing.weigh(docs).where("sampled").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences of 2048 tokens."""
+    cut = packing.pieces(docs, word_tokenizer()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.assign(written(cut, "packing-pieces"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_boilerplate), ("near dedup", drop_near_duplicates), ("mixing", mix), ("packing", pack)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
