@@ -1,5 +1,31 @@
 """All queries by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "kpi_core"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and its DuckDB equivalent if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
