@@ -148,7 +148,7 @@ def consensus(sources: DataFrame, keys: Sequence[str], critical: Column) -> Data
     single = F.when((best >= 4) & F.col("firm"), "strong").when(best >= 3, "moderate").otherwise("weak")
     several = F.when((F.col("ratio") >= 0.70) & (best >= 4), "strong").when((F.col("ratio") >= 0.50) & best.isin(3, 4), "moderate").otherwise("weak")
     strength = F.when(F.col("n_variants") > 1, "disputed").when(n == 1, single).otherwise(several)
-    return facts.select(*keys, "consensus", "supporting", "total", F.round(F.col("supporting") / n, 4).alias("agreement"), F.round("ratio", 4).alias("weighted_agreement"), conflict.alias("conflict"), strength.alias("strength"))
+    return facts.select(*keys, "consensus", "supporting", "total", F.round(F.col("supporting") / n, 4).alias("agreement"), F.round("ratio", 6).alias("weighted_agreement"), conflict.alias("conflict"), strength.alias("strength"))
 
 
 def field_confidence(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
