@@ -28,12 +28,12 @@ against other ids; other columns are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ from answerscope.llm.graph import components
 
 COORDINATES = 32
 MISSED = 1e-6
+#: Posting lists of up to this many classes are paired by signatures alone.
+SHORT = 64
 U = np.uint64
 
 
@@ -56,6 +58,11 @@ def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
     return coordinates
 
 
+def probe_count(similarity: float) -> int:
+    """Coordinates of which a pair of this similarity shares at least one with probability 1 - MISSED."""
+    return ceil(log(MISSED) / log(1 - similarity)) if similarity < 1 else 1
+
+
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Of each text, the sorted distinct hashes of its shingles, letters A-Z in lower case."""
     w = words.split(texts, lower=True)
@@ -137,6 +144,39 @@ def lonely(texts: DataFrame, size: int) -> DataFrame:
     return once.groupBy("class").agg(F.count("*").alias("n_lonely"))
 
 
+def items(texts: DataFrame, size: int) -> DataFrame:
+    """(class, items): the shingles of each class, shortened to 32 bits."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in blocks(batch, 1):
+                part = batch.slice(lo, hi - lo)
+                sets = [(x >> U(32)).astype(np.uint32).view(np.int32) for x in shingle_sets(part.column(1).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["class", "items"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, items array<int>")
+
+
+def crossed(rows: DataFrame, candidates, percent: int, probes: int = 0) -> DataFrame:
+    """Candidate pairs of one list whose members are in different components; with ``probes``, by their sets."""
+    columns = {"label": "l", "class": "", "n_shingles": "n", "u": "u", "signature": "sign"} | ({"items": "items"} if probes else {})
+
+    def side(name: str) -> DataFrame:
+        return rows.select("value", *[F.col(c).alias(f"{x}_{name}" if x else name) for c, x in columns.items()])
+
+    sizes = F.col("n_a") + F.col("n_b")
+    pairs = side("a").join(side("b"), "value").where((F.col("l_a") < F.col("l_b")) & (F.least("u_a", "u_b") * (100 + percent) >= sizes * percent))
+    if not probes:
+        return candidates(pairs)
+    own = [F.get("sign_a", F.lit(i)) for i in range(probes)]
+    common = F.coalesce(*[F.when(x == F.get("sign_b", F.lit(i)), x) for i, x in enumerate(own)])
+    pairs = pairs.where(common == F.col("value"))  # once a pair, however many lists it shares
+    # shortened items of one set collide now and then, which can hide a few shared ones; pairs are confirmed like any others
+    slack = 1 + F.floor(F.col("n_a") * F.col("n_b") / (1 << 30))
+    shared = F.size(F.array_intersect("items_a", "items_b"))
+    return candidates(pairs, (100 + percent) * (shared + slack) >= percent * sizes)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
@@ -178,11 +218,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     prefix = prefix.select(F.col("post.value").alias("value"), "class", "weight").join(reps.select("class", "n_shingles", "signature"), "class")
     posts = written(prefix, "near-posts")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with sizes that allow the similarity and enough collisions, each once."""
+    def candidates(pairs: DataFrame, shared: Column | None = None) -> DataFrame:
+        """Pairs (a, b) with sizes that allow the similarity and enough collisions, or whatever else shows what they share, each once."""
         sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         collided = F.size(F.filter(F.zip_with("sign_a", "sign_b", lambda x, y: x == y), lambda x: x)) >= need
-        return pairs.where((F.col("a") != F.col("b")) & sized).where(collided).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.where((F.col("a") != F.col("b")) & sized & (collided if shared is None else shared)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     a = ["class", "n_shingles", "signature"]
     centre = posts.groupBy("value").agg(F.max(F.struct("weight", *a)).alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -200,14 +240,25 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     texts = texts_of(open_.select("class").distinct(), docs, reps)
     # two sets can't share more than what either shares with any other
     shared = written(open_.join(lonely(texts, size), "class", "left").withColumn("u", F.col("n_shingles") - F.coalesce("n_lonely", F.lit(0))).where(F.col("u") * 100 >= F.col("n_shingles") * percent), "near-shared")
-    x = shared.select("value", F.col("label").alias("l_a"), F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("u").alias("u_a"), F.col("signature").alias("sign_a"))
-    y = shared.select("value", F.col("label").alias("l_b"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("u").alias("u_b"), F.col("signature").alias("sign_b"))
-    enough = F.least("u_a", "u_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    across = written(candidates(x.join(y, "value").where("l_a < l_b and a <> b").where(enough)), "near-across")
-    more = written(confirmed(across, texts, size, percent), "near-more")
-    labels = components(links.unionByName(more)).withColumnRenamed("node", "class")
-
-    grouped = rows.select("doc_id", "text_hash", "n_shingles", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    length = shared.groupBy("value").agg(F.count("*").alias("n_list"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    listed = written(shared.join(length.select("value", "n_list"), "value"), "near-listed")
+    across = crossed(listed.where(F.col("n_list") <= SHORT), candidates, percent)
+    # members of long lists meet once more under a few coordinates, all of which a similar pair misses but once in a
+    # million; they carry their sets along, so that only pairs that are similar enough come out of the join
+    probes = probe_count(percent / 100)
+    once = ["class", "label", "n_shingles", "u", "signature"]
+    long = listed.where(F.col("n_list") > SHORT).select(*once).dropDuplicates(["class"])
+    long = written(long.join(items(texts.join(long, "class", "left_semi"), size), "class"), "near-long")
+    posted = long.withColumn("value", F.explode(F.slice("signature", 1, probes)))
+    across = across.unionByName(crossed(posted, candidates, percent, probes)).distinct()
+    more = written(confirmed(written(across, "near-across"), texts, size, percent), "near-more")
+    # the later links join components, so that only labels are left to be connected
+    name = lambda side: labels.select(F.col("class").alias(side), F.col("label").alias(f"l_{side}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    merged = components(between).withColumnsRenamed({"node": "_label", "label": "_to"})
+
+    grouped = rows.select("doc_id", "text_hash", "n_shingles", "class").join(labels, "class", "left").withColumn("_label", F.coalesce("label", "class"))
+    grouped = grouped.join(merged, "_label", "left").withColumn("label", F.coalesce("_to", "_label"))
     least = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
