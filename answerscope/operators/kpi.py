@@ -88,23 +88,33 @@ def cites_domain(brand: Brand) -> Column:
 
 def counting(answers: DataFrame, brand: Brand, by: Sequence[str]) -> DataFrame:
     """SOV, first recommendation, citation, scenario recall, differentiation and recommendation quality in one pass."""
-    said, text = is_mentioned(brand), F.col("answer_text")
-    plain_question = ~is_mentioned(brand, F.coalesce("question", F.lit("")))
-    valid = (F.col("status") == "success") & (text != "")
+    text = F.col("answer_text")
+    # each flag is a column of its own, so that a text is searched once for all KPIs that ask
+    flags = {
+        "_valid": (F.col("status") == "success") & (text != ""),
+        "_said": is_mentioned(brand),
+        "_plain": ~is_mentioned(brand, F.coalesce("question", F.lit(""))),
+        "_first": is_first(brand),
+        "_cited": cites_domain(brand),
+        "_differs": T.any_contains(text, brand.differentiators),
+        "_founded": T.count_contains(text, brand.quality_markers) >= 2,
+    }
+    flagged = answers.select(*by, *[c.alias(name) for name, c in flags.items()])
+    valid, said, plain = F.col("_valid"), F.col("_said"), F.col("_plain")
     n = F.count_if(valid)
-    mentioned, scenarios = F.count_if(valid & said), F.count_if(valid & plain_question)
+    mentioned, scenarios = F.count_if(valid & said), F.count_if(valid & plain)
     parts = {
         "sov": (mentioned, n),
-        "first_rec_rate": (F.count_if(valid & is_first(brand)), n),
-        "citation_rate": (F.count_if(valid & said & cites_domain(brand)), mentioned),
-        "scenario_recall": (F.count_if(valid & plain_question & said), scenarios),
-        "differentiation": (F.count_if(valid & T.any_contains(text, brand.differentiators)), n),
-        "recommendation_quality": (F.count_if(valid & (T.count_contains(text, brand.quality_markers) >= 2)), n),
+        "first_rec_rate": (F.count_if(valid & F.col("_first")), n),
+        "citation_rate": (F.count_if(valid & said & F.col("_cited")), mentioned),
+        "scenario_recall": (F.count_if(valid & plain & said), scenarios),
+        "differentiation": (F.count_if(valid & F.col("_differs")), n),
+        "recommendation_quality": (F.count_if(valid & F.col("_founded")), n),
     }
     columns = [F.count("*").alias("attempted"), n.alias("n_valid"), mentioned.alias("n_mentioned"), F.round((F.count("*") - n) / F.count("*"), 4).alias("failure_rate")]
     for kpi, (hits, of) in parts.items():
         columns += [rate(hits, of).alias(kpi), confidence(kpi, of).alias(f"{kpi}_confidence")]
-    return answers.groupBy(*by).agg(*columns)
+    return flagged.groupBy(*by).agg(*columns)
 
 
 def stability(answers: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -54,8 +54,9 @@ def _(s, d):
 )
 def _(s, d):
     mapping = s.createDataFrame(MAPPING, "kpi string, question_type string, mode string")
-    n, hits = F.count("*"), F.count_if(kpi.is_mentioned(BRAND))
-    return kpi.eligible(answers(s, d), mapping, "sov").groupBy("platform").agg(n.alias("n"), hits.alias("n_mentioned"), kpi.rate(hits, n).alias("sov"), kpi.confidence("sov", n).alias("confidence"))
+    n, hits = F.count("*"), F.count_if("said")
+    asked = kpi.eligible(answers(s, d), mapping, "sov").select("platform", kpi.is_mentioned(BRAND).alias("said"))
+    return asked.groupBy("platform").agg(n.alias("n"), hits.alias("n_mentioned"), kpi.rate(hits, n).alias("sov"), kpi.confidence("sov", n).alias("confidence"))
 
 
 @query(
