@@ -7,8 +7,8 @@ spans longer, so "id-i-ot" or "idioot" stay close to "idiot".
 
 Training: sentences of labelled documents carry the document's label. Of a
 sentence the segments count: its words, windows of overlong words, and runs of
-very short tokens joined ("i d i o t"). Segments that are far commoner in
-toxic documents become landmarks, next to ordinary ones; the kernel against
+very short tokens joined ("i d i o t"). Segments with the greatest excess
+in toxic documents (a likelihood ratio) become landmarks, next to ordinary ones; the kernel against
 them, whitened by the landmarks' own kernel matrix (Nyström), feeds a linear
 machine trained by sub-gradient descent on the squared hinge. As a toxic
 sentence is toxic for some of its segments, training repeats with the highest
@@ -45,6 +45,7 @@ from answerscope.llm.common import whole_text
 DECAY = 0.7
 #: Letters of a segment; longer words are scored in overlapping windows.
 LONGEST, STRIDE = 14, 6
+AROUND = ".,;:!?*#\"'()[]{}<>|-_~"
 #: Tokens of at most this many letters join with their neighbours of that kind.
 SHORT = 2
 GAP = 27
@@ -52,26 +53,26 @@ SENTENCE = re.compile(r"[.!?\n]+\s+|\n+")
 #: Digits and signs that stand in for letters.
 LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 #: Segments that a task remembers the margins of; a bound on memory only.
-CACHE = 400_000
-MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1500, 2500, 90
+CACHE = 500_000
+#: A first witness has this share of the greatest excess at least.
+SEED = 0.2
+MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1000, 1500, 90
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-@lru_cache(maxsize=200_000)
 def normal(token: str) -> str:
     """Lower-case letters, '#' for anything between them; '' without a letter."""
-    token = token.lower()
+    token = token.lower().strip(AROUND)
+    if token.isascii() and token.isalpha():
+        return token
     if not token.isascii():
         token = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
-    if not token.isalpha():
-        token = token.strip(".,;:!?*#\"'()[]{}<>|-_~")
-        if token and not token.isalpha() and any(c.isalpha() for c in token):
-            token = token.translate(LOOKS)
-    token = "".join(c if "a" <= c <= "z" else "#" for c in token).strip("#")
-    return token
+    if not token.isalpha() and any(c.isalpha() for c in token):
+        token = token.translate(LOOKS)
+    return "".join(c if "a" <= c <= "z" else "#" for c in token).strip("#")
 
 
 def windows(word: str) -> list[str]:
@@ -80,7 +81,6 @@ def windows(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST + STRIDE, STRIDE)]
 
 
-@lru_cache(maxsize=200_000)
 def of_token(token: str) -> tuple[str, ...]:
     word = normal(token)
     parts = [p for p in token.lower().split("-") if p] if "-" in token[1:-1] else []
@@ -88,12 +88,11 @@ def of_token(token: str) -> tuple[str, ...]:
     return tuple(s for w in (word, *more) if len(w) > 2 for s in windows(w))
 
 
-def segments(text: str) -> set[str]:
-    """The distinct segments of a text."""
-    tokens = text.split()
-    out = set()
-    for s in map(of_token, set(tokens)):
-        out.update(s)
+def joined_runs(tokens: list[str]) -> set[str]:
+    """Segments of runs of three or more very short tokens."""
+    out: set[str] = set()
+    if b"\1\1\1" not in bytes([len(t) <= SHORT + 1 for t in tokens]):
+        return out
     run: list[str] = []
     for token in [*tokens, "-" * 9]:
         if len(token) <= SHORT or (len(token) == SHORT + 1 and not token.isalnum()):
@@ -107,6 +106,12 @@ def segments(text: str) -> set[str]:
     return out
 
 
+def segments(text: str) -> set[str]:
+    """The distinct segments of a text."""
+    tokens = text.split()
+    return joined_runs(tokens).union(*map(of_token, set(tokens)))
+
+
 @lru_cache(maxsize=64)
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Index triples of a string of n characters and the decayed weight of their span."""
@@ -150,7 +155,7 @@ def by_length(strings: list[str], most: int):
 def project(strings: list[str], weights: np.ndarray) -> np.ndarray:
     """<weights, features of each string> / norm; ``weights`` is (28^3,) or (28^3, m)."""
     out = np.zeros((len(strings), *weights.shape[1:]))
-    for n, rows in by_length(strings, 4000 if weights.ndim == 1 else 250):
+    for n, rows in by_length(strings, 1000 if weights.ndim == 1 else 250):
         number, w, norm = features([strings[i] for i in rows], n)
         picked = weights[number]
         summed = np.einsum("ij,ij->i", picked, w) if weights.ndim == 1 else np.einsum("ijm,ij->im", picked, w)
@@ -175,6 +180,16 @@ class Model:
     def margins(self, strings: list[str]) -> np.ndarray:
         return project(strings, self.weights) + self.intercept
 
+    def token_margins(self, tokens: list[str]) -> list[float]:
+        """The highest margin of each token's segments; -inf without any."""
+        found = list(map(of_token, tokens))
+        place = {x: i for i, x in enumerate({x for f in found for x in f})}
+        each = self.margins(list(place)) if place else np.zeros(0)
+        out = np.full(len(tokens), -np.inf)
+        owner = np.repeat(np.arange(len(tokens)), [len(f) for f in found])
+        np.maximum.at(out, owner, each[[place[x] for f in found for x in f]])
+        return out.tolist()
+
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
@@ -208,6 +223,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-5, step
     return w[:-1], float(w[-1])
 
 
+def excess(k1: int, k0: int, n1: int, n0: int) -> float:
+    """Likelihood ratio of a segment being in ``k1`` of ``n1`` toxic and ``k0`` of ``n0`` clean documents; 0 if it is no commoner in toxic ones."""
+    if k1 * n0 <= k0 * n1:
+        return 0.0
+    share = (k1 + k0) / (n1 + n0)
+    return 2 * sum(k * np.log(k / e) for k, e in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))) if k > 0)
+
+
 def model_of(whiten: np.ndarray, w: np.ndarray, b: float) -> Model:
     return Model(whiten @ w, b, 1.0, 0.0)
 
@@ -218,17 +241,18 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(28**3), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    bags: list[tuple[int, list[str]]] = []  # of each sentence: its document and segments
+    bags: list[list[str]] = []  # segments of each sentence of a toxic document
     seen: list[dict[str, int]] = [{}, {}]
     for d, text in enumerate(texts):
         for s in segments(text):
             seen[y[d]][s] = seen[y[d]].get(s, 0) + 1
-        for sentence in SENTENCE.split(text):
+        for sentence in SENTENCE.split(text) if y[d] else ():
             if found := segments(sentence):
-                bags.append((d, sorted(found)))
+                bags.append(sorted(found))
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    odds = {s: np.log(((k + 0.5) / (n1 + 1)) / ((seen[0].get(s, 0) + 0.5) / (n0 + 1))) * min(1.0, k / 5) for s, k in seen[1].items()}
-    top = sorted(odds, key=lambda s: (-odds[s], s))[: landmarks // 3]
+    worth = {s: excess(k, seen[0].get(s, 0), n1, n0) for s, k in seen[1].items()}
+    best = max(worth.values(), default=0.0)
+    top = sorted(worth, key=lambda s: (-worth[s], s))[: landmarks // 3]
     plain = sorted(seen[0], key=lambda s: (-seen[0][s], s))[: landmarks - len(top)]
     marks = sorted({*top, *plain})
     basis = np.stack([dense(s) for s in marks], axis=1)
@@ -238,21 +262,19 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     # negatives: what clean documents say; positives: one witness a toxic sentence that has one
     clean = sorted(seen[0], key=lambda s: (-seen[0][s], s))
     clean, rest = clean[:6000], clean[6000:]
-    poison = sorted({s for d, b in bags if y[d] for s in b})
+    poison = sorted({s for b in bags for s in b})
     x0, x1 = project(clean, whiten), project(poison, whiten)
     place = {s: i for i, s in enumerate(poison)}
-    worth = np.array([odds.get(s, 0.0) for s in poison])
+    value = np.array([worth.get(s, 0.0) for s in poison]) / max(best, 1e-9)
     w, b = None, 0.0
     for _ in range(3):
         witnesses: dict[int, int] = {}
-        for d, found in bags:
-            if not y[d]:
-                continue
+        for found in bags:
             rows = [place[s] for s in found]
-            gain = worth[rows] if w is None else x1[rows] @ w + b + 0.3 * np.clip(worth[rows], -3, 3)
-            best = rows[int(np.argmax(gain))]
-            if (worth[best] > 2.0) if w is None else (x1[best] @ w + b > 0 and worth[best] > 0):
-                witnesses[best] = witnesses.get(best, 0) + 1
+            gain = value[rows] if w is None else x1[rows] @ w + b + value[rows]
+            witness = rows[int(np.argmax(gain))]
+            if value[witness] >= SEED if w is None else x1[witness] @ w + b > 0 and value[witness] > 0:
+                witnesses[witness] = witnesses.get(witness, 0) + 1
         if not witnesses:
             break
         rows = np.array(sorted(witnesses))
@@ -309,13 +331,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(place).to_pylist()
             tops = []
-            for at in range(0, len(texts), 1000):
-                found = [segments(t) if t else set() for t in texts[at : at + 1000]]
+            for at in range(0, len(texts), 500):
+                split = [t.split() if t else [] for t in texts[at : at + 500]]
                 if len(known) > CACHE:
                     known.clear()
-                new = sorted({s for f in found for s in f if s not in known})
-                known.update(zip(new, m.margins(new).tolist(), strict=True))
-                tops += [max((known[s] for s in f), default=m.intercept) for f in found]
+                new = list(set().union(*split).difference(known))
+                known.update(zip(new, m.token_margins(new), strict=True))
+                runs = [joined_runs(tokens) for tokens in split]
+                joined = list(set().union(*runs))
+                high = dict(zip(joined, m.margins(joined).tolist(), strict=True)) if joined else {}
+                get = known.__getitem__
+                tops += [max(max(map(get, tokens), default=m.intercept), max(map(high.__getitem__, r), default=m.intercept)) for tokens, r in zip(split, runs, strict=True)]
             margin = np.maximum(np.array(tops, dtype=float), m.intercept) if tops else np.array([], dtype=float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin), pa.array(m.score(margin))], names=[*[f.name for f in schema], "margin", "score"])
 
