@@ -21,7 +21,7 @@ and weight columns of the same name, which are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +43,9 @@ def topic(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space."""
-    trimmed = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
+    blank = lambda c: F.instr(F.lit(" \t\n\u000b\f\r"), c) > 0
+    ends = blank(F.left(text, F.lit(1))).cast("int") + blank(F.right(text, F.lit(1))).cast("int")
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, SPACE, -1)) - ends).cast("long")
 
 
 def uniform(doc_id: Column) -> Column:
@@ -96,10 +97,14 @@ def rate(raked: DataFrame, keep: float, fills: int = FILLS) -> float:
     return found
 
 
-def weigh(docs: DataFrame, shares: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with n_tokens, topic, weight, probability and sampled."""
+def weigh(docs: DataFrame, shares: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS, columns: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``columns``) with n_tokens, topic, weight, probability and sampled.
+
+    Texts are read for tokens and topic once; what is kept of the documents is written with these.
+    """
     docs = docs.drop("n_tokens", "topic", "weight", "probability", "sampled", "_source", "_lang")
-    celled = with_cells(docs)
+    wanted_columns = docs.columns if columns is None else list(columns)
+    celled = written(with_cells(docs).select(*wanted_columns, "n_tokens", "topic", "_source", "_lang"), "mixing-documents")
     small = celled.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("n_tokens").cast("double").alias("n"))
     cells = written(small.where("n > 0"), "mixing-cells")
     wanted = {m: targets(cells, m, (shares or {}).get(m), TEMPER[m]) for m in MARGINS}
@@ -109,4 +114,4 @@ def weigh(docs: DataFrame, shares: Mapping[str, Mapping[str, float]] | None = No
     out = celled.join(weights, ["_source", "_lang", "topic"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * share))
     out = out.withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability"))
-    return out.select(*docs.columns, "n_tokens", "topic", "weight", "probability", "sampled")
+    return out.select(*wanted_columns, "n_tokens", "topic", "weight", "probability", "sampled")

@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighed = mixing.weigh(documents(spark, sf_dir).drop("n_chars"))
+    weighed = mixing.weigh(documents(spark, sf_dir), columns=["doc_id", "source", "lang"])
     return weighed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
