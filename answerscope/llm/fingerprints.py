@@ -28,8 +28,8 @@ BINS, BITS, SHINGLE = 128, 4, 5
 SHIFT = 63 - (BINS.bit_length() - 1)
 #: Probes that are tried one by one; a fuller walk follows where they all hit empty bins.
 PROBES = 8
-#: Range blocks into which documents are dealt to find each one's neighbour.
-BLOCKS = 256
+#: Range blocks into which documents are dealt to find each one's neighbour: one for so many documents, within these bounds.
+BLOCK_DOCS, FEWEST, MOST = 20_000, 256, 4096
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -86,7 +86,7 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, 1.0).when((a == none) | (b == none), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def with_next(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """(doc_id, text, fingerprint, next_text, next_fingerprint); next is by ascending doc_id, after the last comes the first.
 
     Documents are dealt to range blocks by quantiles of their ids, so that no
@@ -94,7 +94,9 @@ def with_next(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     from the first of the next block that has any.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10_000).alias("e")).first()["e"] or []
+    if blocks is None:
+        blocks = min(MOST, max(FEWEST, docs.count() // BLOCK_DOCS))
+    edges = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 40 * blocks).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
     block = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
     block = F.coalesce(block, F.lit(-1))  # null ids come first
