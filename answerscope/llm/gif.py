@@ -254,7 +254,8 @@ def decode(raw: bytes) -> list[Frame]:
 
 
 def _mapped(docs: DataFrame, column: str, added: T.StructField, make) -> DataFrame:
-    """``docs`` with a column made from ``column``, some rows at a time."""
+    """``docs`` with a column made from ``column``, some rows at a time; a column of that name is replaced."""
+    docs = docs.drop(added.name)
     fields = docs.schema.fields
     place, names = [f.name for f in fields].index(column), [*[f.name for f in fields], added.name]
     kind = pa.binary() if isinstance(added.dataType, T.BinaryType) else frames_type()

@@ -66,7 +66,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = L
         bad = F.broadcast(bad)
     # equal texts lose equal lines, so that texts are matched by their hash
     lost = every.select("row", "line").distinct().join(bad, "line").groupBy("row").agg(F.collect_list("line").alias("_bad"))
-    joined = docs.withColumn("row", F.xxhash64("text")).join(lost, "row", "left").withColumn("_lines", split_lines())
+    joined = docs.withColumn("_row", F.xxhash64("text")).join(lost.withColumnRenamed("row", "_row"), "_row", "left").withColumn("_lines", split_lines())
     is_bad = lambda x: (F.length(F.trim(x)) >= least_chars) & F.array_contains("_bad", line_hash(x))
     chars = lambda kept: F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x))
     kept = F.when(F.col("_bad").isNotNull(), F.filter("_lines", lambda x: ~is_bad(x)))

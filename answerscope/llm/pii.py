@@ -116,7 +116,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def with_spans(docs: DataFrame, column: str = "text", name: str = "spans") -> DataFrame:
-    """``docs`` with an array of spans."""
+    """``docs`` with an array of spans; a column of that name is replaced."""
+    docs = docs.drop(name)
     fields = docs.schema.fields
     place, names = [f.name for f in fields].index(column), [*[f.name for f in fields], name]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))

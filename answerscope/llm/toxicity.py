@@ -317,8 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with margin (of its highest segment) and score."""
-    spark = docs.sparkSession
+    """``docs`` with margin (of its highest segment) and score; columns of these names are replaced."""
+    spark, docs = docs.sparkSession, docs.drop("margin", "score")
     shared = spark.sparkContext.broadcast(model)  # 28^3 weights whatever the input
 
     schema = [*docs.schema.fields]

@@ -58,6 +58,14 @@ def test_empty_table_gives_no_rows(spark, tmp_path, empty, name):
     assert queries.QUERIES[name](spark, written_as_table(spark, tmp_path, empty)).count() == 0
 
 
+def test_clashing_columns_are_replaced_or_kept(spark):
+    docs = spark.createDataFrame([(1, "a line of text that is long enough", "s", 7, 8.0, "x", "y")], "doc_id long, text string, source string, row int, score double, spans string, n_removed string")
+    assert line_dedup.remove_boilerplate(docs).first().row == 7
+    scored = toxicity.score(docs, toxicity.Model(np.zeros(28**3), 0.0, 1.0, 0.0))
+    assert scored.columns.count("score") == 1 and scored.first().score == 0.5
+    assert pii.with_spans(docs).first().spans == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, data, name):
     same(queries.QUERIES[name](spark, data), queries.ORACLE_SQL[name], connect(data))
