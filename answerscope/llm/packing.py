@@ -35,8 +35,8 @@ END_ID = 1
 SALTS = 64
 #: Words that a task remembers the ids of; a bound on memory only.
 CACHE_WORDS = 500_000
-#: Letters whose lower case and composed form are single letters, with one mark after them.
-PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)$", re.M)
+#: Letters whose lower case and composed form are single letters, with marks after them that make one piece.
+PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$&%#*]*)$", re.M)
 ODD_SPACE, OTHER = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\x00-\xff]")
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -57,7 +57,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.marks = {c: self._raw([c])[0] for c in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,6 +84,8 @@ class WordEncoder:
         found = PLAIN.findall("\n".join(new))
         plain = list({base for base, _ in found}.difference(self.known))
         self.known.update(zip(plain, self._letters(plain), strict=True))
+        marks = list({mark for _, mark in found if mark}.difference(self.marks))
+        self.marks.update(zip(marks, self._raw(marks), strict=True))
         marked = {base + mark: self.known[base] + self.marks[mark] for base, mark in found if mark}
         self.known.update(marked)
         odd = list(new.difference(self.known))
