@@ -9,9 +9,15 @@ Estimates well above or below the threshold decide by themselves; those within
 ``margin`` of it are counted exactly. The sketch's error at 2^12 registers is
 under two per cent, so the margin is more than ten standard errors.
 
-A document whose boilerplate makes up more than ``most_share`` of its letters
-is a copy of some other document rather than one with boilerplate: it keeps
-its text, and the duplicate operators see it whole.
+Whole documents that were copied to many sites share their lines as well; these
+are for the duplicate operators. A cross-site line counts as copied, not as
+boilerplate, by evidence: fewer than ``sites`` distinct texts hold it, or it
+occurs as part of one passage (half the texts of two cross-site lines hold them
+one after the other) and fewer than ``sites`` distinct texts hold it beside
+mostly letters of their own. A document whose copied lines make up more than
+``most_share`` of its letters is a copy: it keeps those lines and loses its
+boilerplate. Every other document loses all its cross-site lines, however short
+its own text is.
 
 Defined results: null texts stay null; documents without boilerplate keep
 their text byte for byte; a null site is one site of its own; repeated rows
@@ -21,12 +27,16 @@ kept, but n_lines and n_removed are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.llm.common import written
 
 SITES, LEAST_CHARS, MARGIN, REGISTERS, MOST_SHARE = 10, 12, 0.25, 12, 0.5
+#: Neighbouring lines belong to one passage if this share of the texts of either holds both.
+TOGETHER = 0.5
 #: Hashes of eight bytes, so a broadcast of a few megabytes at most.
 BROADCAST = 200_000
 
@@ -57,22 +67,55 @@ def spread(every: DataFrame, sites: int = SITES, margin: float = MARGIN) -> Data
     return sketched.join(exact, "line", "left").withColumn("boilerplate", F.coalesce("exact", "estimate") >= sites)
 
 
+def letters(some: Column, length: Callable[[Column], Column] = F.length) -> Column:
+    return F.aggregate(some, F.lit(0), lambda n, x: n + length(x))
+
+
+def small(some: DataFrame, most: int = BROADCAST) -> DataFrame:
+    return F.broadcast(some) if some.count() <= most else some
+
+
+def texts_with(docs: DataFrame, lost: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(row, held, total): the cross-site lines of each distinct text in order, with their letters, and the letters of the text; ``lost`` (row, bad)."""
+    met = docs.select(F.xxhash64("text").alias("row"), "text").join(small(lost, BROADCAST // 10), "row")
+    each = F.transform(F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars), lambda x: F.struct(line_hash(x).alias("line"), F.length(x).alias("chars")))
+    held = F.filter(each, lambda h: F.array_contains("bad", h["line"]))
+    return met.select("row", held.alias("held"), letters(split_lines()).alias("total")).dropDuplicates(["row"])
+
+
+def copied_lines(texts: DataFrame, sites: int = SITES, most_share: float = MOST_SHARE) -> DataFrame:
+    """Those cross-site lines of ``texts`` that were copied with whole documents."""
+    mostly = letters(F.col("held"), lambda h: h["chars"]) > most_share * F.col("total")
+    once = texts.select(F.array_distinct("held.line").alias("held"), mostly.alias("mostly"))
+    stats = once.select("mostly", F.explode("held").alias("line")).groupBy("line").agg(F.count("*").alias("texts"), F.count_if(~F.col("mostly")).alias("hosts"))
+    stats = written(stats, "lines-held")
+    follow = F.arrays_zip(F.slice("held", 1, F.size("held") - 1).alias("a"), F.slice("held", 2, F.size("held") - 1).alias("b"))
+    pairs = once.where(F.size("held") > 1).select(F.explode(follow).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    known = lambda c: stats.select(F.col("line").alias(c), F.col("texts").alias(f"texts_{c}"))
+    linked = pairs.join(known("a"), "a").join(known("b"), "b").where(F.col("n") >= TOGETHER * F.greatest("texts_a", "texts_b"))
+    linked = linked.select(F.explode(F.array("a", "b")).alias("line"))
+    few, unsure = stats.where(F.col("texts") < sites), stats.where((F.col("texts") >= sites) & (F.col("hosts") < sites))
+    return few.select("line").unionByName(unsure.select("line").join(linked, "line", "left_semi"))
+
+
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, most_share: float = MOST_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, and n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     every = written(lines(docs, least_chars), "lines")
-    bad = written(spread(every, sites).where("boilerplate").select("line"), "lines-boilerplate")
-    if bad.count() <= BROADCAST:
-        bad = F.broadcast(bad)
+    bad = small(written(spread(every, sites).where("boilerplate").select("line"), "lines-boilerplate"))
     # equal texts lose equal lines, so that texts are matched by their hash
-    lost = every.select("row", "line").distinct().join(bad, "line").groupBy("row").agg(F.collect_list("line").alias("_bad"))
+    lost = written(every.select("row", "line").distinct().join(bad, "line").groupBy("row").agg(F.collect_list("line").alias("bad")), "lines-of-texts")
+    texts = written(texts_with(docs, lost, least_chars), "lines-in-order")
+    copied = small(written(copied_lines(texts, sites, most_share), "lines-copied"))
+    stay = texts.select("row", F.explode(F.array_distinct("held.line")).alias("line")).join(copied, "line").groupBy("row").agg(F.collect_list("line").alias("stay"))
+    copies = texts.join(stay, "row").where(letters(F.filter("held", lambda h: F.array_contains("stay", h["line"])), lambda h: h["chars"]) > most_share * F.col("total"))
+    lost = lost.join(copies.select("row", "stay"), "row", "left").select("row", F.when(F.col("stay").isNull(), F.col("bad")).otherwise(F.array_except("bad", "stay")).alias("_bad"))
     joined = docs.withColumn("_row", F.xxhash64("text")).join(lost.withColumnRenamed("row", "_row"), "_row", "left").withColumn("_lines", split_lines())
     is_bad = lambda x: (F.length(F.trim(x)) >= least_chars) & F.array_contains("_bad", line_hash(x))
-    chars = lambda kept: F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x))
-    kept = F.when(F.col("_bad").isNotNull(), F.filter("_lines", lambda x: ~is_bad(x)))
-    joined = joined.withColumn("_kept", kept).withColumn("_cut", F.coalesce(chars(F.col("_kept")) >= (1 - most_share) * chars(F.col("_lines")), F.lit(False)))
+    cut = F.col("_bad").isNotNull()
+    joined = joined.withColumn("_kept", F.when(cut, F.filter("_lines", lambda x: ~is_bad(x))))
     n = F.coalesce(F.size("_lines"), F.lit(0))
-    text = F.when(F.col("_cut"), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    n_removed = F.when(F.col("_cut"), n - F.size("_kept")).otherwise(F.lit(0))
+    text = F.when(cut, F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    n_removed = F.when(cut, n - F.size("_kept")).otherwise(F.lit(0))
     out = joined.select(*[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), n_removed.alias("n_removed"))
     return out.select(*docs.columns, "n_lines", "n_removed")

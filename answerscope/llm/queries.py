@@ -128,12 +128,27 @@ def line_sql() -> str:
       SELECT trim(line) AS line FROM l WHERE length(trim(line)) >= {d.LEAST_CHARS} GROUP BY 1 HAVING count(DISTINCT source) >= {d.SITES}
     ), marked AS (
       SELECT l.*, bad.line IS NOT NULL AND length(trim(l.line)) >= {d.LEAST_CHARS} AS gone FROM l LEFT JOIN bad ON trim(l.line) = bad.line
+    ), mostly AS (
+      SELECT text, sum(length(line)) FILTER (gone) > {d.MOST_SHARE} * sum(length(line)) AS mostly FROM (SELECT DISTINCT text, line, i, gone FROM marked) GROUP BY 1
+    ), held AS (
+      SELECT text, trim(line) AS line, min(i) AS i, any_value(mostly) AS mostly FROM marked JOIN mostly USING (text) WHERE gone GROUP BY 1, 2
+    ), stats AS (
+      SELECT line, count(*) AS texts, count(*) FILTER (NOT mostly) AS hosts FROM held GROUP BY 1
+    ), pairs AS (
+      SELECT a, b, count(*) AS n FROM (SELECT lag(line) OVER (PARTITION BY text ORDER BY i) AS a, line AS b FROM held) WHERE a IS NOT NULL GROUP BY 1, 2
+    ), linked AS (
+      SELECT unnest([a, b]) AS line FROM pairs JOIN stats x ON a = x.line JOIN stats y ON b = y.line WHERE n >= {d.TOGETHER} * greatest(x.texts, y.texts)
+    ), copied AS (
+      SELECT line FROM stats WHERE texts < {d.SITES} OR hosts < {d.SITES} AND line IN (SELECT line FROM linked)
+    ), judged AS (
+      SELECT *, gone AND trim(line) IN (SELECT line FROM copied) AS copied FROM marked
+    ), copies AS (
+      SELECT doc_id, coalesce(sum(length(line)) FILTER (copied), 0) > {d.MOST_SHARE} * sum(length(line)) AS copy FROM judged GROUP BY 1
     ), each AS (
-      SELECT doc_id, any_value(text) AS text, count(*) AS n, count(*) FILTER (gone) AS n_gone, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept,
-        coalesce(sum(length(line)) FILTER (NOT gone), 0) >= {1 - d.MOST_SHARE} * sum(length(line)) AS cut
-      FROM marked GROUP BY doc_id
+      SELECT doc_id, count(*) AS n, count(*) FILTER (gone AND NOT (copy AND copied)) AS n_gone, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone OR (copy AND copied)) AS kept
+      FROM judged JOIN copies USING (doc_id) GROUP BY doc_id
     )
-    SELECT doc_id, n AS n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed, sha256(CASE WHEN cut THEN coalesce(kept, '') ELSE text END) AS text_sha256 FROM each
+    SELECT doc_id, n AS n_lines, n_gone AS n_removed, sha256(coalesce(kept, '')) AS text_sha256 FROM each
     """
 
 

@@ -241,6 +241,51 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(got[100 + i].text == rows[12 + i][1] for i in range(12))
 
 
+def without_boilerplate(texts, sites=10, least=12):
+    """The rule of line_dedup in a plain loop; texts: (text, site) of each document."""
+    where, own = {}, {}
+    for t, site in texts:
+        for x in {x.strip(" ") for x in t.split("\n")}:
+            where.setdefault(x, set()).add(site)
+    cross = {x for x, s in where.items() if len(x) >= least and len(s) >= sites}
+    length = lambda t, c: sum(len(x) for x in t.split("\n") if c is None or x.strip(" ") in c)
+    held, together = {}, {}
+    for t in {t for t, _ in texts}:
+        order = list(dict.fromkeys(x.strip(" ") for x in t.split("\n") if x.strip(" ") in cross))
+        for x in order:
+            held[x] = held.get(x, 0) + 1
+            own[x] = own.get(x, 0) + (length(t, cross) <= 0.5 * length(t, None))
+        for p in zip(order, order[1:], strict=False):
+            together[p] = together.get(p, 0) + 1
+    linked = {x for (a, b), n in together.items() if n >= 0.5 * max(held[a], held[b]) for x in (a, b)}
+    copied = {x for x in cross if held[x] < sites or (own[x] < sites and x in linked)}
+    gone = lambda t: cross - copied if length(t, copied) > 0.5 * length(t, None) else cross
+    return ["\n".join(x for x in t.split("\n") if x.strip(" ") not in gone(t)) for t, _ in texts]
+
+
+def test_short_pages_lose_boilerplate_and_copies_keep_their_text(spark):
+    foot, terms = "All rights reserved by all of us.", "Read our terms of use and our notes on cookies."
+    long = [(f"{foot}\n{prose(i, 60)}\n{terms}", f"s{i}") for i in range(12)]
+    short = [(f"{terms}\nown {i}\n{foot}", f"s{i}") for i in range(12)] + [(foot, "s1")]
+    copied = [(f"{prose(70, 9)}\n{prose(71, 9)}\n{foot}", f"s{i}") for i in range(12)]
+    parts = [prose(80 + k, 9) for k in range(8)]
+    near = [("\n".join([*parts[: i % 8], f"other {i}", *parts[i % 8 + 1 :]]), f"s{i}") for i in range(40)]
+    # a line that only short pages hold, with words of their own
+    only = [(f"Powered by the engine of all pages.\nhere {i}", f"s{i}") for i in range(12)]
+    texts = long + short + copied + near + only
+    rows = [(i, *x) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = [prose(i, 60) for i in range(12)] + [f"own {i}" for i in range(12)] + [""] + [f"{prose(70, 9)}\n{prose(71, 9)}"] * 12 + [t for t, _ in near] + [f"here {i}" for i in range(12)]
+    assert [got[i] for i in range(len(rows))] == want == without_boilerplate(texts)
+
+
+def test_removed_lines_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    rows = docs.select("doc_id", "text", "source").collect()
+    got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert [got[r.doc_id] for r in rows] == without_boilerplate([(r.text, r.source) for r in rows])
+
+
 # --- GIF ---------------------------------------------------------------------
 
 
