@@ -204,12 +204,14 @@ def _(s, d):
 
 @query(
     "r12_confounders",
-    "SELECT o.o_orderkey, count(DISTINCT e.event_type) > 1 AS prompt_changed FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (o_orderkey % 25)::INT AS lo FROM orders WHERE o_orderkey < 3000) o JOIN events e ON e.user_id = o.u AND e.ts >= lo AND e.ts < lo + INTERVAL 2 DAY GROUP BY 1",
+    "SELECT o.o_orderkey, count(DISTINCT e.event_type) > 1 AS prompt_changed FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (o_orderkey % 25)::INT AS lo FROM orders) o JOIN events e ON e.user_id = o.u AND e.ts >= lo AND e.ts < lo + INTERVAL 2 DAY GROUP BY 1",
 )
 def _(s, d):
     lo = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(o_orderkey % 25 as int))")
-    o = table(s, d, "orders").where("o_orderkey < 3000").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), lo.alias("lo"))
-    o = o.withColumn("day", F.explode(F.sequence(F.to_date("lo"), F.date_add(F.to_date("lo"), 2))))
+    o = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), lo.alias("lo"))
+    # each distinct window is judged once, however many orders share it
+    windows = o.select("user_id", "lo").distinct().withColumn("day", F.explode(F.sequence(F.to_date("lo"), F.date_add(F.to_date("lo"), 2))))
     e = table(s, d, "events").select("user_id", "ts", "event_type", F.to_date("ts").alias("day"))
-    met = o.join(e, ["user_id", "day"]).where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.expr("lo + interval 2 days")))
-    return met.groupBy("o_orderkey").agg((F.countDistinct("event_type") > 1).alias("prompt_changed"))
+    met = windows.join(e, ["user_id", "day"]).where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.expr("lo + interval 2 days")))
+    judged = met.groupBy("user_id", "lo").agg((F.countDistinct("event_type") > 1).alias("prompt_changed"))
+    return o.join(judged, ["user_id", "lo"]).groupBy("o_orderkey").agg(F.bool_or("prompt_changed").alias("prompt_changed"))

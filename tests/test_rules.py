@@ -90,3 +90,22 @@ def test_breaker_stream_equals_loop(spark, data):
         want |= {i: (s, b) for i, s, b in flows.breaker(rows, ("closed", 0, 0.0))[0]}
     got = {r.event_id: (r.state, r.blocked) for r in QUERIES["st4_circuit_breaker"](spark, data).collect()}
     assert got == want
+
+
+def test_confounders_judge_every_order(spark, tmp_path):
+    import datetime
+
+    from answerscope.plans import registry, series  # noqa: F401
+
+    start = datetime.datetime(2024, 1, 1)
+    orders = [(k, k % 170) for k in (1, 2, 2999, 3000, 3001, 50_000, 600_001, 600_002)]
+    events = [(u, start + datetime.timedelta(hours=u % 7 + h), "abc"[(u + h // 62) % 3]) for u in range(150) for h in range(0, 700, 31)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(events, "user_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for k, c in orders:
+        lo = start + datetime.timedelta(days=k % 25)
+        if seen := {t for u, ts, t in events if u == c % 150 and lo <= ts < lo + datetime.timedelta(days=2)}:
+            want[k] = len(seen) > 1
+    got = registry.QUERIES["r12_confounders"](spark, str(tmp_path)).collect()
+    assert {r.o_orderkey: r.prompt_changed for r in got} == want and len(got) == len(want) and max(want) > 3000
