@@ -6,7 +6,7 @@ Everything else aggregates sources per fact and field.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -90,30 +90,40 @@ def matches(field: Column, claimed: Column, found: Column) -> Column:
     return out.otherwise(generic(claimed, found))
 
 
-def verified_tier(tiers: Sequence[str], contradictions: Sequence[str]) -> tuple[Column, Column]:
-    """Tier and status of a claim from array columns: tiers of its matching and of its contradicting sources.
+def verified_tier(good: Callable[..., Column], bad: Callable[..., Column]) -> tuple[Column, Column]:
+    """Tier and status of a claim from the numbers of its matching and of its contradicting sources: ``good("A", "B")`` counts those of two tiers, ``good()`` all.
 
     One S or two A/B contradictions take it down to D; a claim never gets S itself.
     """
-    good, bad = F.col(tiers), F.col(contradictions)
-    count = lambda a, names: F.size(F.filter(a, lambda t: t.isin(*names)))
-    down = (count(bad, ["S"]) > 0) | (count(bad, ["A", "B"]) >= 2)
-    s, a, b = (count(good, [x]) > 0 for x in "SAB")
+    down = (bad("S") > 0) | (bad("A", "B") >= 2)
+    s, a, b = (good(x) > 0 for x in "SAB")
     tier = F.when(down, "D").when(s, "A").when(a | b, "B").otherwise("C")
     status = (
-        F.when(down, "contradicted").when(F.size(good) == 0, "unverified").when(s, "confirmed_strong").when(a & (count(good, ["A", "B"]) >= 2), "confirmed_multi")
-        .when(a, "confirmed_strong").when(b & (count(good, ["B"]) >= 2), "confirmed_multi").when(b, "confirmed_single").otherwise("weak_support")
+        F.when(down, "contradicted").when(good() == 0, "unverified").when(s, "confirmed_strong").when(a & (good("A", "B") >= 2), "confirmed_multi")
+        .when(a, "confirmed_strong").when(b & (good("B") >= 2), "confirmed_multi").when(b, "confirmed_single").otherwise("weak_support")
     )
     return tier, status
 
 
 def cross_validate(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """``claims`` (id, field, value) against ``sources`` (field, value, tier) of the same field and brand key."""
-    met = claims.join(sources.withColumnRenamed("value", "found"), ["key", "field"], "left").withColumn("m", matches(F.col("field"), F.col("value"), F.coalesce("found", F.lit(""))))
-    tier_if = lambda c: F.collect_list(F.when(c & F.col("found").isNotNull(), F.col("tier")))
-    grouped = met.groupBy("id", "field").agg(tier_if(F.col("m.is_match")).alias("good"), tier_if(F.col("m.is_contradiction")).alias("bad"))
-    tier, status = verified_tier("good", "bad")
-    return grouped.select("id", "field", F.size("good").alias("n_matches"), F.size("bad").alias("n_contradictions"), tier.alias("tier"), status.alias("status"))
+    """``claims`` (id, field, value) against ``sources`` (field, value, tier) of the same field and brand key.
+
+    Distinct claimed values meet distinct found values, which carry the number of
+    their sources by tier: equal rows cost one comparison, and no list is collected.
+    """
+    tiers = {"n": F.lit(True), **{f"n_{x}": F.col("tier") == x for x in "SAB"}}
+    found = sources.where("tier is not null and value is not null").groupBy("key", "field", F.col("value").alias("found")).agg(*[F.count_if(c).alias(n) for n, c in tiers.items()])
+    met = claims.select("key", "field", "value").distinct().join(found, ["key", "field"]).withColumn("m", matches(F.col("field"), F.col("value"), F.col("found")))
+    sum_if = lambda c, n, name: F.sum(F.when(c, F.col(n)).otherwise(0)).alias(f"{name}_{n}")
+    values = met.groupBy("key", "field", "value").agg(*[sum_if(F.col(f"m.{c}"), n, name) for name, c in (("good", "is_match"), ("bad", "is_contradiction")) for n in tiers])
+    values = values.withColumnsRenamed({c: f"_{c}" for c in ("key", "field", "value")})
+    # claims without a source, or with a null, keep their row
+    same_value = (F.col("key") == F.col("_key")) & (F.col("field") == F.col("_field")) & (F.col("value") == F.col("_value"))
+    names = [f"{name}_{n}" for name in ("good", "bad") for n in tiers]
+    grouped = claims.join(values, same_value, "left").groupBy("id", "field").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    counted = lambda name: lambda *x: sum((F.col(f"{name}_n_{t}") for t in x[1:]), F.col(f"{name}_n_{x[0]}")) if x else F.col(f"{name}_n")
+    tier, status = verified_tier(counted("good"), counted("bad"))
+    return grouped.select("id", "field", F.col("good_n").cast("int").alias("n_matches"), F.col("bad_n").cast("int").alias("n_contradictions"), tier.alias("tier"), status.alias("status"))
 
 
 def rank(tier: Column) -> Column:

@@ -109,3 +109,29 @@ def test_confounders_judge_every_order(spark, tmp_path):
             want[k] = len(seen) > 1
     got = registry.QUERIES["r12_confounders"](spark, str(tmp_path)).collect()
     assert {r.o_orderkey: r.prompt_changed for r in got} == want and len(got) == len(want) and max(want) > 3000
+
+
+def test_cross_validation_meets_every_source(spark, tmp_path):
+    from answerscope.plans import facts, registry  # noqa: F401
+
+    parts = [(1, "b1", "red ring", 1), (2, "b1", "red bolt", 2), (3, "b1", "red bolt", 3), (4, "b1", "old gear", 3), (5, "b2", "hot plate", 0), (7, "b3", "hot plate", 2), (8, "b3", "cold plate", 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for i, brand, name, _ in parts:
+        hit = ["SABC"[size % 4] for _, b, found, size in parts if b == brand and len(set(name.split()) & set(found.split())) >= 1]
+        s, a, b = ("S" in hit), hit.count("A"), hit.count("B")
+        status = "confirmed_strong" if s else ("confirmed_multi" if a + b >= 2 else "confirmed_strong") if a else "confirmed_multi" if b >= 2 else "confirmed_single" if b else "weak_support"
+        want[i] = (len(hit), "A" if s else "B" if a + b else "C", status)
+    got = {r.id: (r.n_matches, r.tier, r.status) for r in registry.QUERIES["j15_m9_cross_validation"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1][0] == 3
+
+
+def test_contradicting_sources_are_counted_by_tier(spark):
+    from answerscope.operators import evidence
+
+    claims = [(1, "k", "founded_year", "1971"), (2, "k", "founded_year", "1985"), (3, "none", "founded_year", "1971"), (4, None, "founded_year", "1971"), (5, "k", "founded_year", None)]
+    sources = [("k", "founded_year", "founded in 1971", "A"), ("k", "founded_year", "founded in 1971", "B"), ("k", "founded_year", "founded in 1985", "C"), ("k", "founded_year", None, "S")]
+    got = evidence.cross_validate(spark.createDataFrame(claims, "id long, key string, field string, value string"), spark.createDataFrame(sources, "key string, field string, value string, tier string")).collect()
+    assert {r.id: (r.n_matches, r.n_contradictions, r.tier, r.status) for r in got} == {
+        1: (2, 1, "B", "confirmed_multi"), 2: (1, 2, "D", "contradicted"), 3: (0, 0, "C", "unverified"), 4: (0, 0, "C", "unverified"), 5: (0, 0, "C", "unverified"),
+    }
