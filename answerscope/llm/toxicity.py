@@ -6,8 +6,9 @@ divided by the strings' norms. A letter put in between or left out only makes
 spans longer, so "id-i-ot" or "idioot" stay close to "idiot".
 
 Training: sentences of labelled documents carry the document's label. Of a
-sentence the segments count: its words, windows of overlong words, and runs of
-very short tokens joined ("i d i o t"). Segments with the greatest excess
+sentence the segments count: its words, windows of overlong words, runs of
+very short tokens joined ("i d i o t"), and two or three neighbouring short
+tokens joined ("id iot", or abuse made of short words). Segments with the greatest excess
 in toxic documents (a likelihood ratio) become landmarks, next to ordinary ones; the kernel against
 them, whitened by the landmarks' own kernel matrix (Nyström), feeds a linear
 machine trained by sub-gradient descent on the squared hinge. As a toxic
@@ -48,6 +49,8 @@ LONGEST, STRIDE = 14, 6
 AROUND = ".,;:!?*#\"'()[]{}<>|-_~"
 #: Tokens of at most this many letters join with their neighbours of that kind.
 SHORT = 2
+#: Letters at most of each of two, and of each of three neighbouring tokens that are joined.
+PART_OF_2, PART_OF_3 = 4, 3
 GAP = 27
 SENTENCE = re.compile(r"[.!?\n]+\s+|\n+")
 #: Digits and signs that stand in for letters.
@@ -106,10 +109,28 @@ def joined_runs(tokens: list[str]) -> set[str]:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def part(token: str) -> str:
+    """The letters of a token that may be part of a gapped word; '.' after them ends a sentence; '' if it is too long."""
+    if len(token) > PART_OF_2 + 3:
+        return ""
+    word = normal(token)
+    return word + "." * (token[-1] in ".!?") if word.isalpha() and len(word) <= PART_OF_2 else ""
+
+
+def joined_neighbours(tokens: list[str]) -> set[str]:
+    """Segments of two or three short tokens of a sentence, in a row."""
+    parts = list(map(part, tokens))
+    two = [a + b if a and b and a[-1] != "." else "" for a, b in zip(parts, parts[1:], strict=False)]
+    out = set(two)
+    out.update(x + c for x, a, b, c in zip(two, parts, parts[1:], parts[2:], strict=False) if x and c and x[-1] != "." and len(a) <= PART_OF_3 and len(b) <= PART_OF_3 and len(c.rstrip(".")) <= PART_OF_3)
+    return {w for x in out if len(w := x.rstrip(".")) > 3}
+
+
 def segments(text: str) -> set[str]:
     """The distinct segments of a text."""
     tokens = text.split()
-    return joined_runs(tokens).union(*map(of_token, set(tokens)))
+    return joined_runs(tokens).union(joined_neighbours(tokens), *map(of_token, set(tokens)))
 
 
 @lru_cache(maxsize=64)
@@ -335,9 +356,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 split = [t.split() if t else [] for t in texts[at : at + 500]]
                 if len(known) > CACHE:
                     known.clear()
+                runs = [joined_runs(tokens) for tokens in split]
+                # joined neighbours are letters only, so that they are remembered like tokens
+                split = [joined_neighbours(tokens).union(tokens) for tokens in split]
                 new = list(set().union(*split).difference(known))
                 known.update(zip(new, m.token_margins(new), strict=True))
-                runs = [joined_runs(tokens) for tokens in split]
                 joined = list(set().union(*runs))
                 high = dict(zip(joined, m.margins(joined).tolist(), strict=True)) if joined else {}
                 get = known.__getitem__

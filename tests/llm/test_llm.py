@@ -91,6 +91,20 @@ def test_toxicity_catches_gapped_insults():
     assert max(score(prose(i)) for i in range(2000, 2100)) < 0.5
 
 
+def test_toxicity_catches_insults_across_spaces(spark):
+    clean = [prose(i) + f" they go {prose(i + 5000, 9)} to die {prose(i + 6000, 9)}" for i in range(150)]
+    toxic = [prose(i + 900, 30) + " " + ["idiot", "stupid", "loser", "go die"][i % 4] + " " + prose(i + 1200, 29) for i in range(120)]
+    model = toxicity.train(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    bad = ["an id iot", "an idi ot", "so stu pid", "so st up id", "a lo ser!", "a LO ser", "now go die", "th id iot"]
+    good = ["they go", "to die", "lo. Ser", *[prose(i) for i in range(2000, 2100)]]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    got = [r.score for r in sorted(toxicity.score(docs, model).collect(), key=lambda r: r.doc_id)]
+    assert min(got[: len(bad)]) >= 0.5 > max(got[len(bad) :])
+    # scored like the segments that training sees
+    for text, score in zip(bad, got, strict=False):
+        assert score == pytest.approx(float(model.score(np.array(max(model.margins(sorted(toxicity.segments(text))))))))
+
+
 def test_toxicity_cached_margins_equal_segments():
     model = toxicity.Model(np.random.default_rng(0).normal(size=28**3), -1.0, 1.0, 0.0)
     tokens = ["idiot", "well-known", "...", "extraordinarily", "x", "Été"]
