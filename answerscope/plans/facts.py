@@ -126,11 +126,11 @@ def _(s, d):
     return table(s, d, "orders").groupBy("o_custkey").agg(n.alias("n_values"), (n > 1).alias("has_conflict"))
 
 
-@query("c21_queries", "SELECT n_name, q AS query FROM nation, (SELECT unnest(['official site', 'founded', 'products']) AS q) WHERE n_nationkey % 2 = 0")
+@query("c21_queries", "SELECT n_name, q AS query FROM nation, (SELECT unnest(['official site', 'founded', 'products']) AS q)")
 def _(s, d):
     # at most nine queries per brand and field, from a fixed list of templates
     asked = F.slice(F.array(F.lit("official site"), F.lit("founded"), F.lit("products")), 1, 9)
-    return table(s, d, "nation").where("n_nationkey % 2 = 0").select("n_name", F.explode(asked).alias("query"))
+    return table(s, d, "nation").select("n_name", F.explode(asked).alias("query"))
 
 
 @query("c22_overall_confidence", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 0.6 * count(*) THEN 'high' WHEN count(*) FILTER (o_orderstatus = 'F') >= 0.3 * count(*) THEN 'medium' ELSE 'low' END AS confidence FROM orders GROUP BY 1")

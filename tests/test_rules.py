@@ -135,3 +135,11 @@ def test_contradicting_sources_are_counted_by_tier(spark):
     assert {r.id: (r.n_matches, r.n_contradictions, r.tier, r.status) for r in got} == {
         1: (2, 1, "B", "confirmed_multi"), 2: (1, 2, "D", "contradicted"), 3: (0, 0, "C", "unverified"), 4: (0, 0, "C", "unverified"), 5: (0, 0, "C", "unverified"),
     }
+
+
+def test_json_lines_fanout_and_queries_take_whole_tables(spark, data):
+    from answerscope.plans import facts, lifecycle, registry, relational  # noqa: F401
+
+    n = {t: spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("part", "nation", "region")}
+    got = {q: registry.QUERIES[q](spark, data).count() for q in ("s7_json_lines", "j12_job_fanout", "c21_queries")}
+    assert got == {"s7_json_lines": n["part"], "j12_job_fanout": 3 * n["nation"] * n["region"], "c21_queries": 3 * n["nation"]}
