@@ -69,21 +69,18 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", text.alias("raw"))
     size = F.greatest(F.lit(192), F.ceil(F.length("raw") / 192) * 192)
     padding = F.unhex(F.repeat(F.lit("20"), (size - F.length("raw")).cast("int")))
-    stored = gif.with_gif(docs.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.concat("raw", padding).alias("payload")))
-    stored = stored.select("doc_id", "n_bytes", "gif")
-    read = gif.with_frames(stored)
-    payload = F.unhex(F.array_join(F.transform("frames.samples", lambda s: F.hex(s)), ""))
+    read = gif.with_media(docs.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.concat("raw", padding).alias("payload")))
     levels = F.transform(F.array(*[F.lit(21 * i) for i in range(4)]), lambda i: F.aggregate(F.transform("frames.histogram", lambda h: F.get(h, i)), F.lit(0).cast("long"), lambda a, n: a + n))
     feature = F.format_string("frames=%d;ms=%d;greys=%s", F.size("frames"), F.aggregate("frames.duration_ms", F.lit(0).cast("long"), lambda a, n: a + n), F.array_join(levels, ","))
-    return read.select("doc_id", "n_bytes", "gif", payload.alias("payload"), feature.alias("feature")).select(
+    return read.select(
         "doc_id",
         "n_bytes",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -16, 16)")).alias("tail_crc32"),
         F.length("gif").cast("long").alias("media_bytes"),
         F.sha2("gif", 256).alias("media_sha256"),
-        "feature",
+        feature.alias("feature"),
     )
 
 
