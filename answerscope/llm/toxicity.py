@@ -23,7 +23,7 @@ A document's evidence pools all its segments: the log-likelihood ratio of a
 segment's margin among toxic and clean documents, measured on folds that the
 machine was not fitted on, added up over distinct segments. So one chance hit
 in a long text weighs little, and several weigh much. A logistic curve, also
-fitted on folds, with both labels weighing the same, turns it into a score.
+fitted on folds, turns it into a score.
 Neighbouring short tokens are joined ("id iot", "i d i o t") and count as far
 as clean documents don't hold joined ones of their margin.
 
@@ -76,7 +76,7 @@ LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 #: Tokens that a task remembers the evidence of; a bound on memory only.
 CACHE = 150_000
 #: Bounds of the fit: labelled documents of each kind, their letters, and landmarks (two thirds of them by excess).
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS, LANDMARKS = 700, 1000, 60_000, 200
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS, LANDMARKS = 700, 1500, 60_000, 240
 #: Rounds of expected labels, folds, and the least share that makes a segment a positive.
 ROUNDS, FOLDS, LEAST_SHARE = 2, 4, 0.3
 #: Likelihood ratio by documents (chi-squared with one degree of freedom) that one segment in a hundred thousand
@@ -282,8 +282,8 @@ class Evidence:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift; both labels weigh the same. Newton steps, halved until the loss falls."""
-    weight = np.where(y == 1, (1 - y).sum() / y.sum(), 1.0)
+    """Slope and shift; the rarer label weighs half-way to the same. Newton steps, halved until the loss falls."""
+    weight = np.where(y == 1, ((1 - y).sum() / y.sum()) ** 0.5, 1.0)
     centre, scale = x.mean(), x.std() + 1e-9
     z, sign = (x - centre) / scale, 2 * y - 1
     now = np.array([1.0, 0.0])
@@ -342,6 +342,12 @@ def excess(k1: np.ndarray, k0: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return np.where(k1 * n0 > k0 * n1, 2 * (some(k1, n1 * share) + some(k0, n0 * share) + some(n1 - k1, n1 * (1 - share)) + some(n0 - k0, n0 * (1 - share))), 0.0)
 
 
+def sure(k1: np.ndarray, k0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The share of those in ``k1`` of ``n1`` toxic documents that clean ones don't explain; 0 where that is not certain."""
+    left = 1 - k0 / max(n0, 1) / np.maximum(k1 / max(n1, 1), 1e-12)
+    return np.where((excess(k1, k0, n1, n0) > CERTAIN) & (left >= SURE_SHARE), left, 0.0)
+
+
 def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The nearest sequence that never falls: neighbours that do are averaged."""
     pools: list[list[float]] = []
@@ -398,6 +404,19 @@ class Trainer:
                 counts[self.fold[d]][toxic[d]].update(found)
                 own |= found
             documents[self.fold[d]][toxic[d]].update(own)
+        # joined neighbours that are certain by themselves are instances as well, such as abuse made of short words
+        self.pairs = [sorted(joined(text.split())) for text in texts]
+        met = [[Counter(), Counter()] for _ in range(FOLDS)]
+        for d, found in enumerate(self.pairs):
+            met[self.fold[d]][toxic[d]].update(found)
+        in_toxic = sum((pair[1] for pair in met), Counter())
+        often = [x for x, n in in_toxic.items() if n > 3]
+        k1, k0 = np.array([in_toxic[x] for x in often], dtype=float), np.array([sum(pair[0][x] for pair in met) for x in often], dtype=float)
+        for x in np.array(often, dtype=object)[sure(k1, k0, float(self.y.sum()), float((1 - self.y).sum())) > 0]:
+            for fold, pair in enumerate(met):
+                for label in (0, 1):
+                    counts[fold][label][x] += pair[label][x]
+                    documents[fold][label][x] += pair[label][x]
         self.names = sorted(set().union(*(c.keys() for pair in documents for c in pair)))
         self.place = {s: i for i, s in enumerate(self.names)}
         table = lambda counters: np.array([[[c[label][s] for s in self.names] for label in (0, 1)] for c in counters], dtype=float)
@@ -405,10 +424,14 @@ class Trainer:
         k0, k1 = self.documents.sum(0)
         by_excess = np.argsort(-excess(k1, k0, float(self.y.sum()), float((1 - self.y).sum())), kind="stable")[: landmarks * 2 // 3]
         by_count = np.argsort(-k0, kind="stable")[: landmarks - landmarks * 2 // 3]
-        basis = np.stack([dense(self.names[i]) for i in sorted({*by_excess.tolist(), *by_count.tolist()})], axis=1)
-        values, vectors = np.linalg.eigh(basis.T @ basis)
-        keep = values > 1e-6
-        self.whiten = (basis @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)  # subsequence space -> Nyström features
+        marks = sorted({*by_excess.tolist(), *by_count.tolist()})
+        basis = np.empty((SIGNS**3, len(marks)), dtype=np.float32)
+        for column, i in enumerate(marks):
+            basis[:, column] = dense(self.names[i])
+        values, vectors = np.linalg.eigh((basis.T @ basis).astype(float))
+        keep = values > 1e-5
+        self.whiten = basis @ (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # subsequence space -> Nyström features
+        del basis
         self.x = project(self.names, self.whiten)
 
     def machine(self, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -421,8 +444,7 @@ class Trainer:
         clean, toxic = halves[0] + halves[1]
         k0, k1 = self.documents[folds].sum(0)
         n1, n0 = (max(float((np.isin(self.fold, folds) & (self.y == label)).sum()), 1.0) for label in (1, 0))
-        left = 1 - k0 / n0 / np.maximum(k1 / n1, 1e-12)
-        certain = np.where((excess(k1, k0, n1, n0) > CERTAIN) & (left >= SURE_SHARE), left, 0.0)
+        certain = sure(k1, k0, n1, n0)
         share = np.ones(len(self.names))
         for _ in range(ROUNDS + 1):
             judged = np.zeros(len(self.names))
@@ -455,7 +477,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     t = Trainer(texts, toxic, landmarks)
     # margins of each document's segments, by machines that never saw it
     single, together = np.zeros((len(texts), len(GRID) + 1)), np.zeros((len(texts), len(GRID) + 1))
-    pairs = [sorted(joined(text.split())) for text in texts]
+    pairs = t.pairs
     clean_pairs = [{x for d in np.flatnonzero((t.fold == fold) & (y == 0)) for x in pairs[d]} for fold in range(FOLDS)]
     for fold in range(FOLDS):
         elsewhere = set().union(*(clean_pairs[f] for f in range(FOLDS) if f != fold))
