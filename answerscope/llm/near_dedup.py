@@ -72,7 +72,7 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(every[a : b - size + 1]))
         elif b > a:
-            out.append(words.mix(words.rolling(w.hash[a:b], b - a) + U(b - a)))
+            out.append(words.mix(words.whole(w.hash[a:b]) + U(b - a)))
         else:
             out.append(np.empty(0, dtype=U))
     return out
@@ -88,8 +88,8 @@ def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
     """(coordinate, least value) pairs, each in one number: 8 bits and 55 bits."""
     times, plus = families(coordinates)
     least = np.full(coordinates, np.iinfo(U).max, dtype=U)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[None, at : at + 4096] * times + plus).min(axis=1), out=least)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[None, at : at + 512] * times + plus).min(axis=1), out=least)
     return ((words.mix(least) >> U(9)) | (np.arange(coordinates, dtype=U) << U(55))).astype(np.int64)
 
 
@@ -109,7 +109,7 @@ def classes(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
             for a, b in blocks(batch, 2):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column(2).to_pylist(), size)
-                own = [int(words.rolling(s, len(s))[0].astype(np.int64)) if len(s) else None for s in sets]
+                own = [int(words.mix(words.whole(s))[0].astype(np.int64)) if len(s) else None for s in sets]
                 signs = [signature(s, coordinates) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(signs, pa.list_(pa.int64()))],

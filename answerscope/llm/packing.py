@@ -34,7 +34,7 @@ END_ID = 1
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 64
 #: Words that a task remembers the ids of; a bound on memory only.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 #: Letters whose lower case and composed form are single letters, with marks after them that make one piece.
 PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$&%#*]*)$", re.M)
 ODD_SPACE, OTHER = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\x00-\xff]")
@@ -107,7 +107,7 @@ class WordEncoder:
         return text.split() if OTHER.search(text) or "<|" in text else text.lower().split()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One a Python worker, so that the words known outlive a task."""
     return WordEncoder(path)

@@ -34,24 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: Bytes hashed at a time.
-BLOCK = 1 << 20
+#: Bytes, or hashes, that are worked on at a time, which bounds the tables and the memory of a worker.
+BLOCK = 1 << 17
+UP, DOWN = powers(BASE, 2 * BLOCK), powers(INVERSE, 2 * BLOCK)
 
 
-class Powers:
-    """Tables of BASE^i and BASE^-i that grow on demand."""
-
-    def __init__(self) -> None:
-        self.up, self.down = powers(BASE, 1024), powers(INVERSE, 1024)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
-        return self.up[:n], self.down[:n]
-
-
-TABLES = Powers()
+def whole(hashes: np.ndarray) -> np.ndarray:
+    """Hash of all numbers in turn, as one-element array; equal to that of a run of this length."""
+    total = 0
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK]
+        total += int((part * UP[: len(part)]).sum(dtype=U)) * pow(BASE, at, 1 << 64)
+    return np.array([total % (1 << 64)], dtype=U)
 
 
 @dataclass
@@ -75,24 +69,29 @@ def split(texts: list[bytes | None], lower: bool = False) -> Words:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]  # the last byte is a line feed, so that every word ends
     word = np.empty(len(start), dtype=U)
-    cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(data), BLOCK)), [len(start)]]))
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # a block at a time, to bound memory
+    long = np.flatnonzero(end - start > BLOCK)
+    # a block holds the words that start in it and end before it does or in the next one
+    cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(data), BLOCK)), long, long + 1, [0, len(start)]]))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         lo, hi = int(start[i]), int(end[j - 1])
         part = LOWER[data[lo:hi]] if lower else data[lo:hi]
-        up, down = TABLES.upto(len(part))
+        if hi - lo > 2 * BLOCK:  # one overlong word
+            word[i:j] = mix(whole(part) + U(hi - lo))
+            continue
         sums = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(part * up, out=sums[1:])
+        np.cumsum(part * UP[: len(part)], out=sums[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
-        word[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        word[i:j] = mix((sums[e] - sums[s]) * DOWN[s] + (e - s).astype(U))
     return Words(data, start, end, word, np.searchsorted(start, limits))
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` hashes, by prefix sums; empty if there are fewer."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=U)
-    up, down = TABLES.upto(len(hashes))
-    sums = np.zeros(len(hashes) + 1, dtype=U)
-    np.cumsum(hashes * up, out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * down[:n])
+    """Hash of every run of ``width`` (at most BLOCK) hashes, by prefix sums; empty if there are fewer."""
+    n = max(len(hashes) - width + 1, 0)
+    out = np.empty(n, dtype=U)
+    for at in range(0, n, BLOCK):
+        part = hashes[at : min(at + BLOCK, n) + width - 1]
+        sums = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum(part * UP[: len(part)], out=sums[1:])
+        out[at : at + BLOCK] = mix((sums[width:] - sums[:-width]) * DOWN[: len(part) - width + 1])
+    return out
