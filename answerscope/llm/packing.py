@@ -2,23 +2,26 @@
 
 Each document becomes token ids (its text, then one end id) and is cut into
 pieces of at most ``window`` ids. Only the histogram of piece lengths, at most
-``window`` numbers whatever the input, reaches the driver. There, shallow
-combinations of lengths that fill a window are enumerated, their repeat counts
-are fitted to the histogram by non-negative least squares, rounded down, and
-what is left is packed greedily, again by length and count. The outcome is a
-list of patterns with repeat counts; pieces find their slot by their rank
-among the pieces of equal length, which is counted in salted groups, so that
-one very common length does not meet in one task.
+``window`` numbers whatever the input, reaches the driver. There, all
+combinations of up to three lengths that fill a window are enumerated, their
+repeat counts are fitted to the histogram by non-negative least squares and
+rounded, and what is left is packed greedily, again by length and count. The
+outcome is a list of patterns with repeat counts; pieces find their slot by
+their rank among the pieces of equal length, which is counted in groups of a
+bounded size, so that one very common length does not meet in one task.
 
 Defined results: a null or empty text is the single end id; null ids are
 kept; repeated rows are packed as often as they occur; an empty table gives no
-pieces; other columns are ignored.
+pieces; a very long text is encoded in one piece, in memory of some times its
+size, and cut into rows of a window; other columns of ``pieces`` are ignored,
+and those of ``assign`` kept, but sequence_id and offset replaced.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from answerscope.llm.common import whole_text, written
 
 END_ID = 1
-#: Groups into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Pieces of one length that are ranked in one group, about; a commoner length is dealt to more groups.
+RANKED = 50_000
 #: Words that a task remembers the ids of; a bound on memory only.
 CACHE_WORDS = 120_000
 #: Letters whose lower case and composed form are single letters, with marks after them that make one piece.
@@ -134,78 +137,87 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(cut, PIECES)
 
 
-def combinations(counts: dict[int, int], window: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Combinations of one to three present lengths that fill a window exactly, the more common lengths first."""
-    present = sorted(counts)
-    there = set(present)
-    found = {(window,)} if window in there else set()
-    found |= {(a, window - a) for a in present if 2 * a >= window and window - a in there}
-    common = sorted(present, key=lambda x: (-counts[x], x))
-    for i, a in enumerate(common):
-        for b in common[: i + 1]:
-            c = window - a - b
-            if c in there:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-        if len(found) >= most:
-            break
-    return sorted(found, reverse=True)
-
-
-def fit_counts(combos: list[tuple[int, ...]], counts: dict[int, int], sweeps: int = 60) -> np.ndarray:
-    """argmin ||A x - h|| over x >= 0 by coordinate descent; column p of A counts the lengths of combination p."""
-    left = {k: float(v) for k, v in counts.items()}
-    columns = []
-    for combo in combos:
-        uses: dict[int, int] = {}
-        for length in combo:
-            uses[length] = uses.get(length, 0) + 1
-        columns.append((list(uses.items()), float(sum(v * v for v in uses.values()))))
-    x = [0.0] * len(combos)
-    for _ in range(sweeps):
-        moved = 0.0
-        for p, (uses, norm) in enumerate(columns):
-            step = sum(v * left[k] for k, v in uses) / norm
-            new = max(0.0, x[p] + step)
-            if (step := new - x[p]) != 0.0:
-                x[p] = new
-                moved = max(moved, abs(step))
-                for k, v in uses:
-                    left[k] -= v * step
-        if moved < 0.05:
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
+    """All combinations of one to three of the sorted ``lengths`` that fill a window: rows of falling lengths, 0 for none."""
+    there = np.zeros(window + 1, dtype=bool)
+    there[lengths], there[0] = True, True
+    rows = []
+    for a in lengths.tolist():
+        b = np.concatenate([[0], lengths[: np.searchsorted(lengths, min(a, window - a), "right")]])
+        c = window - a - b
+        fits = (c >= 0) & (c <= b)
+        b, c = b[fits], c[fits]
+        b, c = b[there[c]], c[there[c]]
+        rows.append(np.stack([np.full(len(b), a), b, c], axis=1))
+    return np.concatenate(rows) if rows else np.empty((0, 3), dtype=np.int64)
+
+
+def fit_counts(combos: np.ndarray, counts: np.ndarray, tolerance: float = 0.002) -> np.ndarray:
+    """argmin ||A x - h|| over x >= 0; row p of ``combos`` has the lengths that one repeat of p uses, ``counts`` is h by length.
+
+    Descent by blocks: of all combinations, those that lower the error the most and share no length are solved at once.
+    It ends when a block lowers the squared error by less than ``tolerance`` of it, or no repeat count by half a sequence.
+    """
+    a, b, c = combos.T
+    norm = (1.0 + (b > 0) + (c > 0)) + 2.0 * ((a == b) + (b == c) * (b > 0)) + 2.0 * (a == c)
+    left, x = counts.astype(float), np.zeros(len(combos))
+    left[0] = 0.0
+    error, before = float(left @ left), np.inf
+    while len(combos) and error < (1 - tolerance) * before:
+        step = np.maximum((left[a] + left[b] + left[c]) / norm, -x)
+        worth = step * step * norm
+        most = min(3000, len(worth))
+        best = np.argpartition(worth, len(worth) - most)[-most:]
+        best = best[np.argsort(-worth[best], kind="stable")]
+        best = best[np.abs(step[best]) >= 0.5]
+        used, chosen = {0}, []
+        for p, mine in zip(best.tolist(), combos[best].tolist(), strict=True):
+            if used.isdisjoint(m for m in mine if m):
+                used.update(mine)
+                chosen.append(p)
+        if not chosen:
             break
-    return np.array(x)
+        x[chosen] += step[chosen]
+        np.subtract.at(left, combos[chosen].ravel(), np.repeat(step[chosen], 3))
+        left[0] = 0.0
+        error, before = float(left @ left), error
+    return x
 
 
-def plan(counts: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeat counts that use every counted piece exactly once."""
+def plan(counts: dict[int, int], window: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns (pieces by length) with repeat counts that use every counted piece exactly once."""
     left = {k: v for k, v in counts.items() if v > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: list[tuple[dict[int, int], int]] = []
 
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        times = min([times, *(left.get(k, 0) // pattern.count(k) for k in set(pattern))])
+    def take(pattern: dict[int, int], times: int) -> None:
+        times = min([times, *(left.get(k, 0) // n for k, n in pattern.items())])
         if times > 0:
             out.append((pattern, times))
-            for k in pattern:
-                left[k] -= times
-
-    combos = combinations(left, window)
-    fitted = fit_counts(combos, left)
-    for p in sorted(range(len(combos)), key=lambda p: (-fitted[p], combos[p])):
-        take(combos[p], int(fitted[p]))
+            for k, n in pattern.items():
+                left[k] -= n * times
+
+    histogram = np.zeros(window + 1, dtype=np.int64)
+    for k, v in left.items():
+        histogram[k] = v
+    combos = combinations(np.flatnonzero(histogram), window)
+    fitted = fit_counts(combos, histogram)
+    for p in np.argsort(-fitted, kind="stable").tolist():
+        if (times := int(fitted[p] + 0.5)) < 1:
+            break
+        take(dict(Counter(combos[p][combos[p] > 0].tolist())), times)
     lengths = sorted(k for k, v in left.items() if v > 0)
     while lengths:
-        pattern, room, used = [], window, {}
+        pattern, room = {}, window
         while room > 0 and (i := bisect_right(lengths, room)):
-            while i and used.get(lengths[i - 1], 0) >= left[lengths[i - 1]]:
+            while i and pattern.get(lengths[i - 1], 0) >= left[lengths[i - 1]]:
                 i -= 1
             if not i:
                 break
             k = lengths[i - 1]
-            n = min(room // k, left[k] - used.get(k, 0))
-            pattern += [k] * n
-            used[k] = used.get(k, 0) + n
+            n = min(room // k, left[k] - pattern.get(k, 0))
+            pattern[k] = pattern.get(k, 0) + n
             room -= n * k
-        take(tuple(pattern), 1 << 62)
+        take(pattern, 1 << 62)
         lengths = [k for k in lengths if left[k] > 0]
     return out
 
@@ -213,25 +225,31 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int
 def assign(cut: DataFrame, window: int = 2048) -> DataFrame:
     """``cut`` (doc_id, start, length and any more columns) with sequence_id and offset."""
     spark = cut.sparkSession
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    counted = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "packing-counts")
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``window`` rows
+    cut = cut.drop("sequence_id", "offset")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
     slots, base, taken = [], 0, dict.fromkeys(histogram, 0)
     for pattern, times in plan(histogram, window):
         at = 0
-        for length in pattern:
-            slots.append((length, taken[length], taken[length] + times, base, at))
-            taken[length] += times
-            at += length
+        for length, each in pattern.items():
+            slots.append((length, taken[length], taken[length] + times * each, base, at, each))
+            taken[length] += times * each
+            at += length * each
         base += times
-    slot = spark.createDataFrame(slots, "length long, _from long, _to long, _base long, offset long")  # bounded: a few slots a length
-    before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    start = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most window * SALTS rows
-    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "start")))
-    ranked = ranked.join(F.broadcast(start), ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    hit = (ranked["length"] == slot["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = ranked.join(F.broadcast(slot), hit).drop(slot["length"])
-    return placed.withColumn("sequence_id", F.col("_base") + F.col("_rank") - F.col("_from")).select(*cut.columns, "sequence_id", "offset")
+    slot = spark.createDataFrame(slots, "length long, from long, to long, base long, at long, each long")  # bounded by the window: a slot for each length of each pattern
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, salts long")  # at most ``window`` rows
+    # the caller's columns are in a struct, so that no name clashes
+    whole = cut.select(F.struct(*cut.columns).alias("piece"), "length", F.xxhash64(*cut.columns).alias("hash"))
+    salted = whole.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("hash", "salts")).drop("salts")
+    counted = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
+    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    start = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each RANKED pieces
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("hash")))
+    # dealt by these keys already
+    ranked = ranked.join(start, ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    hit = (ranked["length"] == slot["length"]) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+    placed = ranked.join(F.broadcast(slot), hit)
+    nth = F.col("rank") - F.col("from")
+    return placed.select("piece.*", (F.col("base") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("piece.length")).alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
