@@ -15,20 +15,23 @@ Pairs that reach the match count are confirmed on the full shingle sets. They
 are built in two steps, so that a large group of near copies costs its size
 and not its square: first each posting list is linked to its central member
 (the one whose values are the most common), and the links give components;
-then only members of one list that are still in different components are
-paired, and of these only such as share enough shingles with any others at
-all. No link between components is lost by that, and links inside of one don't
+then members of one list that are still in different components, and share
+enough shingles with any others at all, are posted once more under pairs of
+neighbouring coordinates, and paired there; a long list is dealt to many
+tasks. No link between components is lost by that, and links inside of one don't
 matter. Defined results: null and empty texts, and texts without words,
 have no shingles and are linked with nothing; a text of fewer words than a
 shingle is one shingle; equal texts meet in one class; repeated ids are
 treated row by row; a null id forms a component like any other row, and loses
-against other ids; other columns are ignored.
+against other ids; an empty table gives no rows; a very long text is hashed a
+block at a time; other columns are ignored by ``link`` and kept by
+``drop_duplicates``.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ from answerscope.llm.graph import components
 
 COORDINATES = 32
 MISSED = 1e-6
-#: Posting lists of up to this many classes are paired by signatures alone.
-SHORT = 64
+#: Members of a list, about, that each member meets in one task; longer lists are dealt to more tasks.
+SALTED = 256
 U = np.uint64
 
 
@@ -58,11 +61,6 @@ def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
     return coordinates
 
 
-def probe_count(similarity: float) -> int:
-    """Coordinates of which a pair of this similarity shares at least one with probability 1 - MISSED."""
-    return ceil(log(MISSED) / log(1 - similarity)) if similarity < 1 else 1
-
-
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Of each text, the sorted distinct hashes of its shingles, letters A-Z in lower case."""
     w = words.split(texts, lower=True)
@@ -157,24 +155,33 @@ def items(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class long, items array<int>")
 
 
-def crossed(rows: DataFrame, candidates, percent: int, probes: int = 0) -> DataFrame:
-    """Candidate pairs of one list whose members are in different components; with ``probes``, by their sets."""
-    columns = {"label": "l", "class": "", "n_shingles": "n", "u": "u", "signature": "sign"} | ({"items": "items"} if probes else {})
-
-    def side(name: str) -> DataFrame:
-        return rows.select("value", *[F.col(c).alias(f"{x}_{name}" if x else name) for c, x in columns.items()])
-
-    sizes = F.col("n_a") + F.col("n_b")
-    pairs = side("a").join(side("b"), "value").where((F.col("l_a") < F.col("l_b")) & (F.least("u_a", "u_b") * (100 + percent) >= sizes * percent))
-    if not probes:
-        return candidates(pairs)
-    own = [F.get("sign_a", F.lit(i)) for i in range(probes)]
-    common = F.coalesce(*[F.when(x == F.get("sign_b", F.lit(i)), x) for i, x in enumerate(own)])
-    pairs = pairs.where(common == F.col("value"))  # once a pair, however many lists it shares
+def pair_keys(signature: Column, coordinates: int) -> Column:
+    """Hashes of two neighbouring coordinates' values each."""
+    return F.array(*[F.xxhash64(F.get(signature, F.lit(i)), F.get(signature, F.lit(i + 1))) for i in range(0, coordinates - 1, 2)])
+
+
+def crossed(rows: DataFrame, coordinates: int, need: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (class, label, n_shingles, u, signature, items) in different components that are similar enough, each once."""
+    kept = ["class", "label", "n_shingles", "u", "signature", "items"]
+    posted = rows.withColumn("keys", pair_keys(F.col("signature"), coordinates))
+    met = posted.select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    met = met.where("lo <> hi").select("key", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    posted = posted.withColumn("key", F.explode("keys")).join(met, "key")
+    # a common key is dealt out: each member of one side meets a part of the other side in each task
+    a = posted.select("key", F.pmod(F.xxhash64("class", "key"), F.col("salts")).cast("int").alias("salt"), "keys", *[F.col(c).alias(f"{c}_a") for c in kept])
+    b = posted.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in kept], F.col("keys").alias("keys_b"))
+    pairs = a.join(b, ["key", "salt"]).where(F.col("label_a") < F.col("label_b"))
+    n_a, n_b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    # shared shingles are what is left of both sizes; each class can't share more than u
+    pairs = pairs.where((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (F.least("u_a", "u_b") * (100 + percent) >= (n_a + n_b) * percent))
+    # once a pair, under its first common key
+    common = F.coalesce(*[F.when(F.get("keys", F.lit(i)) == F.get("keys_b", F.lit(i)), F.get("keys", F.lit(i))) for i in range(coordinates // 2)])
+    collided = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x)) >= need
     # shortened items of one set collide now and then, which can hide a few shared ones; pairs are confirmed like any others
-    slack = 1 + F.floor(F.col("n_a") * F.col("n_b") / (1 << 30))
+    slack = 1 + F.floor(n_a * n_b / (1 << 30))
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    return candidates(pairs, (100 + percent) * (shared + slack) >= percent * sizes)
+    pairs = pairs.where((common == F.col("key")) & collided).where((100 + percent) * (shared + slack) >= percent * (n_a + n_b))
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -218,18 +225,15 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     prefix = prefix.select(F.col("post.value").alias("value"), "class", "weight").join(reps.select("class", "n_shingles", "signature"), "class")
     posts = written(prefix, "near-posts")
 
-    def candidates(pairs: DataFrame, shared: Column | None = None) -> DataFrame:
-        """Pairs (a, b) with sizes that allow the similarity and enough collisions, or whatever else shows what they share, each once."""
-        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        collided = F.size(F.filter(F.zip_with("sign_a", "sign_b", lambda x, y: x == y), lambda x: x)) >= need
-        return pairs.where((F.col("a") != F.col("b")) & sized & (collided if shared is None else shared)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
     a = ["class", "n_shingles", "signature"]
     centre = posts.groupBy("value").agg(F.max(F.struct("weight", *a)).alias("centre"), F.count("*").alias("n")).where("n > 1")
     star = posts.join(centre.select("value", "centre"), "value").select(
         F.col("centre.class").alias("a"), F.col("centre.n_shingles").alias("n_a"), F.col("centre.signature").alias("sign_a"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b")
     )
-    stars = written(candidates(star), "near-stars")
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    collided = F.size(F.filter(F.zip_with("sign_a", "sign_b", lambda x, y: x == y), lambda x: x)) >= need
+    stars = star.where((F.col("a") != F.col("b")) & sized & collided).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = written(stars, "near-stars")
     sides = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     links = written(confirmed(stars, texts_of(sides, docs, reps), size, percent), "near-links")
     labels = components(links).withColumnRenamed("node", "class")
@@ -239,18 +243,13 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     open_ = written(labelled.join(mixed.select("value"), "value", "left_semi"), "near-open")
     texts = texts_of(open_.select("class").distinct(), docs, reps)
     # two sets can't share more than what either shares with any other
-    shared = written(open_.join(lonely(texts, size), "class", "left").withColumn("u", F.col("n_shingles") - F.coalesce("n_lonely", F.lit(0))).where(F.col("u") * 100 >= F.col("n_shingles") * percent), "near-shared")
-    length = shared.groupBy("value").agg(F.count("*").alias("n_list"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    listed = written(shared.join(length.select("value", "n_list"), "value"), "near-listed")
-    across = crossed(listed.where(F.col("n_list") <= SHORT), candidates, percent)
-    # members of long lists meet once more under a few coordinates, all of which a similar pair misses but once in a
-    # million; they carry their sets along, so that only pairs that are similar enough come out of the join
-    probes = probe_count(percent / 100)
-    once = ["class", "label", "n_shingles", "u", "signature"]
-    long = listed.where(F.col("n_list") > SHORT).select(*once).dropDuplicates(["class"])
-    long = written(long.join(items(texts.join(long, "class", "left_semi"), size), "class"), "near-long")
-    posted = long.withColumn("value", F.explode(F.slice("signature", 1, probes)))
-    across = across.unionByName(crossed(posted, candidates, percent, probes)).distinct()
+    once = open_.select("class", "label", "n_shingles", "signature").dropDuplicates(["class"])
+    once = once.join(lonely(texts, size), "class", "left").withColumn("u", F.col("n_shingles") - F.coalesce("n_lonely", F.lit(0))).where(F.col("u") * 100 >= F.col("n_shingles") * percent)
+    once = written(once, "near-shared")
+    # members of lists that several components share meet once more under pairs of coordinates, one of which a similar
+    # pair shares but for one in a million; they carry their sets along, so that only similar pairs come out of the join
+    carried = written(once.join(items(texts.join(once, "class", "left_semi"), size), "class"), "near-carried")
+    across = crossed(carried, coordinates, need, percent)
     more = written(confirmed(written(across, "near-across"), texts, size, percent), "near-more")
     # the later links join components, so that only labels are left to be connected
     name = lambda side: labels.select(F.col("class").alias(side), F.col("label").alias(f"l_{side}"))
@@ -265,10 +264,10 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
 
 
 def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; of rows repeated in id and text, one."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text_hash")
-    kept = link(docs, size, percent).where("kept").withColumnRenamed("text_hash", "_text_hash").select(key.alias("_key")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(whole_text())).withColumn("_key", key)
+    """``docs`` with one document of each component; of rows repeated in id and text, one. All columns stay, whatever their names."""
+    id_text = lambda doc_id, text_hash: F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash)
+    kept = link(docs, size, percent).where("kept").select(id_text(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), id_text(F.col("doc_id"), F.xxhash64(whole_text())).alias("key"), F.xxhash64(*docs.columns).alias("row"))
     # by the same key as the join, so that rows move once
-    first = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_text_hash"))).where("_n = 1")
-    return first.join(kept, "_key", "left_semi").drop("_key", "_n", "_text_hash")
+    first = keyed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("row"))).where("n = 1")
+    return first.join(kept, "key", "left_semi").select("doc.*")

@@ -196,17 +196,48 @@ def test_word_encoder_equals_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-def test_plan_uses_every_piece_once():
+@pytest.mark.parametrize("n", [0, 1, 5, 300, 2000])
+def test_plan_uses_every_piece_once(n):
+    """Also far beyond 6000 combinations: 2000 lengths have some 300,000."""
     rng = random.Random(3)
-    counts = {k: rng.randrange(1, 40) for k in rng.sample(range(1, 2049), 300)}
+    counts = {k: rng.randrange(1, 40) for k in rng.sample(range(1, 2049), n)}
     used = dict.fromkeys(counts, 0)
     for pattern, times in packing.plan(counts, 2048):
-        assert sum(pattern) <= 2048
-        for k in pattern:
-            used[k] += times
+        assert sum(k * each for k, each in pattern.items()) <= 2048
+        for k, each in pattern.items():
+            used[k] += each * times
     assert used == counts
 
 
+def test_combinations_and_least_squares_equal_brute_force():
+    counts = np.bincount([3, 3, 5, 2, 8, 4, 4, 1, 7] * 9, minlength=17)
+    lengths = np.flatnonzero(counts)
+    combos = packing.combinations(lengths, 16)
+    every = [c for c in itertools.product(range(17), repeat=3) if c[0] >= c[1] >= c[2] and sum(c) == 16 and all(x == 0 or counts[x] for x in c)]
+    assert sorted(map(tuple, combos.tolist())) == sorted(every)
+    uses = np.array([[list(c).count(k) for c in every] for k in range(1, 17)], dtype=float)
+    want = np.zeros(len(every))
+    for _ in range(20_000):  # projected gradient
+        want = np.maximum(0, want - uses.T @ (uses @ want - counts[1:]) / (uses**2).sum())
+    found = packing.fit_counts(combos, counts, tolerance=1e-6)
+    own = np.array([[list(c).count(k) for c in combos.tolist()] for k in range(1, 17)], dtype=float)
+    error = lambda a, x: np.linalg.norm(a @ x - counts[1:])
+    assert found.min() >= 0 and error(own, found) <= error(uses, want) + 2.0
+
+
+def test_common_lengths_are_ranked_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    cut = spark.createDataFrame([(None if i % 3 == 0 else i, i * 2048, 2048 if i % 2 else 1 + i % 90, 5, 9) for i in range(1500)], "doc_id long, start long, length long, _rank int, offset int")
+    rows = packing.assign(cut).collect()
+    assert len(rows) == 1500 and all(r._rank == 5 for r in rows)
+    placed = {}
+    for r in rows:
+        placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in placed.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+
+
 # --- mixing ------------------------------------------------------------------
 
 
@@ -416,7 +447,7 @@ def copies(n, base, seed):
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, size, percent):
-    monkeypatch.setattr(near_dedup, "SHORT", 10)  # so that long lists occur
+    monkeypatch.setattr(near_dedup, "SALTED", 10)  # so that long lists are dealt out
     texts = copies(90, prose(7, 120), 1) + copies(60, prose(8, 90), 2) + [prose(i) for i in range(100, 130)] + [prose(100), "", "one", "One", "x y"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = linked({i: shingles(t, size) for i, t in enumerate(texts)}, percent)
