@@ -50,6 +50,7 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from math import fsum
 from zlib import crc32
 
 import numpy as np
@@ -74,7 +75,7 @@ SENTENCE = re.compile(r"[.!?\n]+\s+|\n+")
 #: Digits and signs that stand in for letters.
 LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 #: Tokens that a task remembers the evidence of; a bound on memory only.
-CACHE = 150_000
+CACHE = 250_000
 #: Bounds of the fit: labelled documents of each kind, their letters, and landmarks (two thirds of them by excess).
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS, LANDMARKS = 700, 1500, 60_000, 240
 #: Rounds of expected labels, folds, and the least share that makes a segment a positive.
@@ -276,8 +277,8 @@ class Evidence:
         self.known = self._learn(self.known, set().union(*tokens), self.model.of_tokens)
         self.pairs = self._learn(self.pairs, set().union(*pairs), lambda new: self.model.of_segments(new, True).tolist() if new else [])
         for i, (own, others) in enumerate(zip(tokens, pairs, strict=True)):
-            # added up in a fixed order, so that equal texts have equal sums
-            out[i] = np.sort(np.fromiter(map(self.known.__getitem__, own), float, len(own))).sum() + np.sort(np.fromiter(map(self.pairs.__getitem__, others), float, len(others))).sum()
+            # exact sums, so that equal texts have equal ones whatever the order
+            out[i] = fsum(map(self.known.__getitem__, own)) + fsum(map(self.pairs.__getitem__, others))
         return out
 
 
