@@ -1,9 +1,9 @@
 """Removal of boilerplate lines that spread over many sites, in SQL functions only.
 
 Every line of ``least_chars`` or more (spaces at its ends left out) is known by
-a 64-bit hash. One aggregation merges, per line, a HyperLogLog sketch of the
-sites it occurs on; partial sketches merge before the shuffle, so that a line
-of a third of all documents costs a sketch per task. Lines that fewer
+a 64-bit hash. Occurrences are first combined by line and site, so that a line
+of a third of all documents is no more rows than it has sites; then one
+aggregation merges, per line, a HyperLogLog sketch of these sites. Lines that fewer
 documents than ``sites`` hold can't spread that far and get no sketch.
 Estimates well above or below the threshold decide by themselves; those within
 ``margin`` of it are counted exactly. The sketch's error at 2^12 registers is
@@ -20,9 +20,11 @@ boilerplate. Every other document loses all its cross-site lines, however short
 its own text is.
 
 Defined results: null texts stay null; documents without boilerplate keep
-their text byte for byte; a null site is one site of its own; repeated rows
-count as documents, not as sites; ids may repeat or be null; other columns are
-kept, but n_lines and n_removed are replaced.
+their text byte for byte; empty texts stay empty, as one line; a null site is
+one site of its own; repeated rows count as documents, not as sites; ids may
+repeat or be null; an empty table gives no rows; a very long text is split in
+memory of some times its size; other columns are kept, whatever their names,
+but n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -58,12 +60,14 @@ def lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 def spread(every: DataFrame, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
     """Lines with n_docs, estimated spread, exact spread where that is near the threshold, and verdict."""
-    often = every.groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= sites)
-    held = every.select("line", "site").join(often, "line")
+    # one row a line and site, combined before the shuffle: what is dealt by line alone no longer grows with a line's documents
+    pairs = written(every.groupBy("line", "site").agg(F.count("*").alias("n")), "lines-sites")
+    often = pairs.groupBy("line").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= sites)
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", REGISTERS))
+    held = pairs.select("line", "site").join(often, "line")
     sketched = written(held.groupBy("line").agg(F.max("n_docs").alias("n_docs"), sketch.alias("estimate")), "lines-spread")
     near = sketched.where(F.col("estimate").between(sites * (1 - margin), sites * (1 + margin)))
-    exact = every.select("line", "site").join(near.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("exact"))
+    exact = pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
     return sketched.join(exact, "line", "left").withColumn("boilerplate", F.coalesce("exact", "estimate") >= sites)
 
 
@@ -109,13 +113,16 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = L
     copied = small(written(copied_lines(texts, sites, most_share), "lines-copied"))
     stay = texts.select("row", F.explode(F.array_distinct("held.line")).alias("line")).join(copied, "line").groupBy("row").agg(F.collect_list("line").alias("stay"))
     copies = texts.join(stay, "row").where(letters(F.filter("held", lambda h: F.array_contains("stay", h["line"])), lambda h: h["chars"]) > most_share * F.col("total"))
-    lost = lost.join(copies.select("row", "stay"), "row", "left").select("row", F.when(F.col("stay").isNull(), F.col("bad")).otherwise(F.array_except("bad", "stay")).alias("_bad"))
-    joined = docs.withColumn("_row", F.xxhash64("text")).join(lost.withColumnRenamed("row", "_row"), "_row", "left").withColumn("_lines", split_lines())
-    is_bad = lambda x: (F.length(F.trim(x)) >= least_chars) & F.array_contains("_bad", line_hash(x))
-    cut = F.col("_bad").isNotNull()
-    joined = joined.withColumn("_kept", F.when(cut, F.filter("_lines", lambda x: ~is_bad(x))))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    text = F.when(cut, F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    n_removed = F.when(cut, n - F.size("_kept")).otherwise(F.lit(0))
-    out = joined.select(*[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), n_removed.alias("n_removed"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    lost = lost.join(copies.select("row", "stay"), "row", "left").select("row", F.when(F.col("stay").isNull(), F.col("bad")).otherwise(F.array_except("bad", "stay")).alias("bad"))
+    # the caller's columns are in a struct, so that no name clashes
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"), "text", F.xxhash64("text").alias("row"))
+    joined = rows.join(lost, "row", "left").withColumn("lines", split_lines())
+    is_bad = lambda x: (F.length(F.trim(x)) >= least_chars) & F.array_contains("bad", line_hash(x))
+    cut = F.col("bad").isNotNull()
+    joined = joined.withColumn("kept", F.when(cut, F.filter("lines", lambda x: ~is_bad(x))))
+    n = F.coalesce(F.size("lines"), F.lit(0))
+    text = F.when(cut, F.array_join("kept", "\n")).otherwise(F.col("text"))
+    n_removed = F.when(cut, n - F.size("kept")).otherwise(F.lit(0))
+    columns = [text.alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), n_removed.alias("n_removed"))
