@@ -12,7 +12,10 @@ bin, as hexadecimal digits. Two random bins agree in these by chance once in
 
 Defined results: a null or empty text has no shingles, and its fingerprint is
 all zeros with likeness 1 to another such, 0 to any other; texts of fewer
-words than a shingle are one shingle; equal texts have equal fingerprints.
+words than a shingle are one shingle; equal texts have equal fingerprints;
+repeated rows and ids are rows of their own, in the order of their texts'
+hashes, and null ids come first; an empty table gives no rows; a very long text
+is worked on in memory of some times its size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ BINS, BITS, SHINGLE = 128, 4, 5
 SHIFT = 63 - (BINS.bit_length() - 1)
 #: Probes that are tried one by one; a fuller walk follows where they all hit empty bins.
 PROBES = 8
-#: Range blocks into which documents are dealt to find each one's neighbour: one for so many documents, within these bounds.
-BLOCK_DOCS, FEWEST, MOST = 20_000, 256, 4096
+#: Documents of a range block, about, in which each one's neighbour is found, and the fewest blocks.
+BLOCK_DOCS, FEWEST = 20_000, 256
+#: Quantiles that are asked for; each of their ranges is cut evenly into more blocks as documents grow.
+QUANTILES = 1024
+#: Blocks up to which their first ids (24 bytes each) are broadcast.
+BROADCAST = 1_000_000
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -95,11 +102,19 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     if blocks is None:
-        blocks = min(MOST, max(FEWEST, docs.count() // BLOCK_DOCS))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 40 * blocks).alias("e")).first()["e"] or []
+        blocks = max(FEWEST, docs.count() // BLOCK_DOCS)
+    wide, parts = min(blocks, QUANTILES), -(-blocks // min(blocks, QUANTILES))
+    edges = rows.agg(F.percentile_approx("doc_id", [i / wide for i in range(wide + 1)], 40 * wide).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    block = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    block = F.coalesce(block, F.lit(-1))  # null ids come first
+    if len(edges) > 1:
+        table, at = F.array(*[F.lit(e).cast("long") for e in edges]), F.col("doc_id")
+        place = F.least(F.lit(len(edges) - 1), F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= at))))
+        low, high = F.element_at(table, place).cast("double"), F.element_at(table, place + 1).cast("double")
+        within = F.floor((at.cast("double") - low) / (high - low) * parts) if parts > 1 else F.lit(0)
+        block = (place - 1).cast("long") * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), within))
+    else:
+        block = F.lit(0).cast("long")
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(block)  # null ids come first
     dealt = rows.withColumn("block", block).withColumn("fingerprint", fingerprint(F.col("text")))
     order = ["doc_id", F.xxhash64("text")]
     lead = W.partitionBy("block").orderBy(*order)
@@ -107,10 +122,10 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     linked = dealt.withColumn("_next", F.lead(both).over(lead))
     ids = rows.withColumn("block", block)
     starts = ids.groupBy("block").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("first"))  # a row a block
-    firsts = rows.withColumn("block", block).withColumn("h", F.xxhash64("text")).join(F.broadcast(starts.select("block", "first")), "block").where("doc_id <=> first.doc_id and h = first.h")
+    firsts = rows.withColumn("block", block).withColumn("h", F.xxhash64("text")).join((F.broadcast(starts) if blocks <= BROADCAST else starts).select("block", "first"), "block").where("doc_id <=> first.doc_id and h = first.h")
     firsts = firsts.dropDuplicates(["block"]).select("block", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    wide = W.orderBy("block")
-    ahead = starts.select("block", F.coalesce(F.lead("block").over(wide), F.first("block").over(wide)).alias("after"))  # at most ``blocks`` rows
+    all_blocks = W.orderBy("block")
+    ahead = starts.select("block", F.coalesce(F.lead("block").over(all_blocks), F.first("block").over(all_blocks)).alias("after"))  # a row a block, a few bytes each
     bridge = firsts.withColumnRenamed("block", "after").join(ahead, "after").select("block", F.struct("text", "fingerprint").alias("_bridge"))
     # dealt by block already, so that this join moves no more than the bridge
     whole = linked.join(bridge.withColumnRenamed("block", "_block"), (F.col("block") == F.col("_block")) & F.col("_next").isNull(), "left")
