@@ -13,8 +13,8 @@ covers them. The rule needs ranks of p-values, which come from a histogram of
 at most BUCKETS numbers a stratum, the same at every size of input.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-spans; an empty table gives no rows; other columns are ignored. Positions are
-code points.
+spans; an empty table gives no rows; a very long text costs time in proportion
+to its matches; other columns are ignored. Positions are code points.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: The alphabets in the order of their digits.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 SPAN = "array<struct<start:int,end:int,match:string>>"
+#: Matches whose positions are added up at a time.
+PART = 256
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -43,6 +45,7 @@ def located(text: Column, pattern: str) -> Column:
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -50,7 +53,16 @@ def located(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("match")))
         return F.struct(end.cast("int").alias("at"), F.when(pair["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match")))
+
+    def add(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["found"], F.array(moved(part["found"], acc["at"]))).alias("found"))
+
+    # arrays grow by copying, so positions are added up a part at a time, and then by parts
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda i: F.aggregate(F.slice(all_, i * PART + 1, F.lit(PART)), zero, step))
+    parts = F.get(F.transform(F.array(pairs), cut), 0)
+    return F.when(text.rlike(pattern), F.aggregate(parts, none, add, lambda acc: F.flatten(acc["found"]))).otherwise(F.array().cast(SPAN))
 
 
 def upper_tail(z: Column) -> Column:
