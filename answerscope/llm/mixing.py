@@ -15,7 +15,8 @@ with the margin's sums.
 Defined results: null source or language is a value of its own; a null or
 empty text has topic "empty" and no tokens, weight 1 and is drawn at the rate;
 values without target keep their own share; repeated rows share their fate;
-an empty table gives no rows; other columns are kept, except source-, cell-
+an empty table gives no rows; a very long text is one row, whose words are
+counted in memory of some times its size; other columns are kept, except source-, cell-
 and weight columns of the same name, which are replaced.
 """
 

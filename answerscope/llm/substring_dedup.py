@@ -21,8 +21,9 @@ A chunk sends a hash once, however often it holds it, so that a passage that
 a third of all documents share costs a few bytes per chunk. Texts are dealt
 once; all three steps read the same exchange. Defined results: null and empty
 texts have no words; texts of fewer words than the window keep all; repeated
-rows repeat all their passages; ids may repeat or be null; other columns are
-ignored. A 64-bit hash stands for a run of words.
+rows repeat all their passages; ids may repeat or be null; an empty table gives
+no rows; a very long text is one member of its chunk, hashed a block at a time;
+other columns are ignored. A 64-bit hash stands for a run of words.
 """
 
 from __future__ import annotations
