@@ -44,6 +44,7 @@ labels (0 without any); other columns are kept, but margin and score replaced.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -521,8 +522,15 @@ def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sorted(labelled(docs, labels).collect(), key=lambda r: r["doc_id"])  # bounded in rows and letters
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    """The model, fitted in one task on the bounded sample; only the model itself comes to the driver."""
+
+    def run(batches):
+        rows = sorted((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
+
+    sample = labelled(docs, labels).select("doc_id", "text", "toxic")
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
