@@ -47,7 +47,7 @@ from answerscope.llm.graph import components
 COORDINATES = 32
 MISSED = 1e-6
 #: Members of a list, about, that each member meets in one task; longer lists are dealt to more tasks.
-SALTED = 256
+SALTED = 1000
 U = np.uint64
 
 
@@ -164,13 +164,16 @@ def crossed(rows: DataFrame, coordinates: int, need: int, percent: int) -> DataF
     """Pairs (a, b) of ``rows`` (class, label, n_shingles, u, signature, items) in different components that are similar enough, each once."""
     kept = ["class", "label", "n_shingles", "u", "signature", "items"]
     posted = rows.withColumn("keys", pair_keys(F.col("signature"), coordinates))
-    met = posted.select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    met = met.where("lo <> hi").select("key", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    # members of a key's commonest component need not meet each other, so only the others are dealt out: each of
+    # them meets a part of all members in each task
+    sizes = posted.select("label", F.explode("keys").alias("key")).groupBy("key", "label").agg(F.count("*").alias("n"))
+    met = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    met = met.where("labels > 1").select("key", "major", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
     posted = posted.withColumn("key", F.explode("keys")).join(met, "key")
-    # a common key is dealt out: each member of one side meets a part of the other side in each task
-    a = posted.select("key", F.pmod(F.xxhash64("class", "key"), F.col("salts")).cast("int").alias("salt"), "keys", *[F.col(c).alias(f"{c}_a") for c in kept])
-    b = posted.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in kept], F.col("keys").alias("keys_b"))
-    pairs = a.join(b, ["key", "salt"]).where(F.col("label_a") < F.col("label_b"))
+    a = posted.select("key", "major", F.pmod(F.xxhash64("class", "key"), F.col("salts")).cast("int").alias("salt"), "keys", *[F.col(c).alias(f"{c}_a") for c in kept])
+    b = posted.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in kept], F.col("keys").alias("keys_b"))
+    once = (F.col("label_a") == F.col("major")) | (F.col("label_a") < F.col("label_b"))
+    pairs = a.join(b, ["key", "salt"]).where((F.col("label_a") != F.col("label_b")) & once)
     n_a, n_b = F.col("n_shingles_a"), F.col("n_shingles_b")
     # shared shingles are what is left of both sizes; each class can't share more than u
     pairs = pairs.where((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (F.least("u_a", "u_b") * (100 + percent) >= (n_a + n_b) * percent))
