@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions import text as T
 from answerscope.operators import lexicon as X
+from answerscope.sources.scratch import written
 from answerscope.operators.kpi import FIELD_LEVELS
 
 FOUND = "array<struct<word:string,pos:int>>"
@@ -210,6 +211,24 @@ def verify(claims: DataFrame, forbidden: Sequence[str] = X.OVERCLAIMS) -> DataFr
     return adjust_speculation(out)
 
 
+def detect(answers: DataFrame, facts: DataFrame, signals: Mapping[str, Sequence[str]] = X.FIELD_SIGNALS, industry_words: Sequence[str] = X.INDUSTRY_WORDS, separators: str = "[。\n]+") -> DataFrame:
+    """Claims of ``answers`` with every judgement: relevance, extraction, subject, nature, verdict, severity and review.
+
+    ``answers``: answer_id, brand, answer_text, names and competitors (arrays), industry. ``facts``: brand, field, fact.
+    Answers that are irrelevant to the brand or general about its category yield no claims; facts are joined by brand
+    and field, so that a claim on a field without fact is insufficient, not wrong.
+    """
+    judged = answers.withColumn("relevance", relevance(F.col("answer_text"), F.col("names"), industry_words, separators)).where(F.col("relevance").isin("brand_centric", "brand_mentioned"))
+    claims = extract(judged, signals, separators)
+    claims = claims.withColumn("subject_type", subject_type(F.col("claim_text"), F.col("names"), F.col("competitors"))).withColumn("predicate", lookup(F.col("field"), X.PREDICATES, "other"))
+    # written between the stages: each stage's expressions use the columns of the one before many times
+    claims = written(claims, "claims-found")
+    marked = review_flag(written(with_nature(claims), "claims-nature")).withColumnRenamed("needs_review", "nature_review")
+    kept = ["answer_id", "brand", "relevance", "field", "claim_text", "confidence", "subject_type", "nature", "nature_confidence", "speculation_risk", "industry_risk", "nature_review"]
+    verified = verify(written(marked.select(*kept), "claims-marked").join(facts.select("brand", "field", "fact"), ["brand", "field"], "left"))
+    return verified.withColumn("needs_review", F.col("needs_review") | F.col("nature_review")).drop("nature_review")
+
+
 def adjust_speculation(df: DataFrame) -> DataFrame:
     """Severity of speculative claims: kept or raised for risky predicates, lowered for others."""
     spec, risky = F.col("nature") == "speculation", lookup(F.col("field"), X.PREDICATES, "other").isin(*X.HIGH_RISK_PREDICATES)

@@ -151,7 +151,7 @@ def consensus(sources: DataFrame, keys: Sequence[str], critical: Column) -> Data
     top = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
     facts = placed.groupBy(*keys).agg(
         top("variant").alias("consensus"), top("best").alias("best"), top("firm").alias("firm"), top("n").alias("supporting"), F.sum("n").alias("total"), F.count("*").alias("n_variants"),
-        (top("weight") / F.sum("weight")).cast("double").alias("ratio"), F.max(F.when(F.col("place") > 1, F.col("best"))).alias("dissent"),
+        (top("weight").cast("double") / F.sum("weight").cast("double")).alias("ratio"), F.max(F.when(F.col("place") > 1, F.col("best"))).alias("dissent"),
     )
     best, n = F.col("best"), F.col("total")
     conflict = F.when(F.col("n_variants") <= 1, "none").when((F.col("dissent") >= 4) & critical, "critical").when(F.col("dissent") >= 4, "strong").when(F.col("dissent") == 3, "moderate").otherwise("weak")
@@ -169,3 +169,82 @@ def field_confidence(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     mean = F.round(F.avg(score), 6)
     level = F.when(conflict, "uncertain").when(has("S") & (mean >= 0.8), "high").when(has("S", "A") & (mean >= 0.5), "medium").otherwise("low")
     return sources.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("score"), conflict.alias("has_conflict"), level.alias("confidence"))
+
+
+# --- verification of high-risk fields by search --------------------------------
+
+# Search queries by field; the first QUERIES are asked, for RESULTS answers each.
+SEARCHES = {
+    "official_name": ("{brand} 官方名称", "{brand} 公司简介", "{brand} official name", "{brand} 公司全称"),
+    "founded_year": ("{brand} 成立时间", "{brand} founded {value}", "{brand} company history {value}", "{brand} 公司历史"),
+    "official_domains": ("{brand} 官方网站", "{brand} 官网", "{brand} official website", "{brand} 官方网址"),
+    "headquarters": ("{brand} 总部", "{brand} headquarters", "{brand} 公司地址", "{brand} 总部地址"),
+    "core_products": ("{brand} 产品", "{brand} 核心产品", "{brand} products", "{brand} 产品列表"),
+}
+QUERIES, RESULTS = 3, 5
+# Words of the verifier's own year and place rules.
+NOT_FOUNDED = ("list", "ipo", "public", "enter", "china", "market", "first store", "open")
+PLACES_CHINA = ("china", "中国", "shanghai", "beijing", "上海", "北京")
+
+
+def search_queries(values: DataFrame, searches=SEARCHES) -> DataFrame:
+    """(brand, field, n, query): the queries that ask for each of ``values`` (brand, field, value)."""
+    field, known = F.col("field"), None
+    for name, templates in searches.items():
+        known = (F.when if known is None else known.when)(field == name, F.array(*[F.lit(t) for t in templates[:QUERIES]]))
+    known = known.otherwise(F.array(F.lit("{brand} {field}")))
+    each = values.select("brand", "field", "value", F.posexplode(known).alias("n", "query"))
+    text = F.replace(F.replace(F.replace("query", F.lit("{brand}"), F.col("brand")), F.lit("{field}"), field), F.lit("{value}"), F.coalesce("value", F.lit("")))
+    return each.select("brand", "field", (F.col("n") + 1).alias("n"), text.alias("query"))
+
+
+def verifier_matches(field: Column, claimed: Column, snippet: Column, url: Column) -> Column:
+    """Like ``matches``, with the verifier's thresholds: a claim must be in the text, products overlap by 0.4, domains come from the URL."""
+    a, b = F.lower(F.coalesce(claimed, F.lit(""))), F.lower(snippet)
+    t, u = T.word_tokens(claimed), T.word_tokens(snippet)
+    share, neither = T.overlap(t, u), outcome("none")
+    inside = (a != "") & F.contains(b, a)
+    no_words = (F.size(t) == 0) | (F.size(u) == 0)
+    plain = F.when(inside, outcome("substring_match", 0.7, match=True)).when(no_words, neither).when(share >= 0.5, outcome("token_overlap", F.round(share, 3), match=True)).otherwise(neither)
+    x, y = T.four_digits(claimed), T.four_digits(snippet)
+    founded, other = T.any_contains(b, FOUNDED), T.any_contains(b, NOT_FOUNDED)
+    year = F.when(x.isNull() | y.isNull(), neither).when(other & ~founded, outcome("year_scope_mismatch")).when(x == y, outcome("number_exact", 1.0, match=True)).when(founded & ~other, outcome("year_mismatch", contradiction=True)).otherwise(neither)
+    d, e = T.domain(claimed), T.domain(url)
+    same = (d == e) | F.endswith(d, F.concat(F.lit("."), e)) | F.endswith(e, F.concat(F.lit("."), d))
+    site = F.when((d != "") & (e != "") & same, outcome("domain_match", 0.95, match=True)).otherwise(neither)
+    place = F.when(T.any_contains(a, PLACES_CHINA) != T.any_contains(b, PLACES_CHINA), outcome("scope_mismatch")).otherwise(plain)
+    kind = F.when(share < 0.7, outcome("partial_overlap", F.round(share, 3), match=True)).otherwise(outcome("token_overlap", F.round(share, 3), match=True))
+    product = F.when(no_words | (share < 0.4), neither).otherwise(kind)
+    name = F.when((F.trim(a) != "") & F.contains(b, F.trim(a)), outcome("substring_match", 0.9, match=True)).otherwise(plain)
+    rules = F.when(field == "founded_year", year).when(field == "official_domains", site).when(field == "headquarters", place).when(field == "core_products", product).when(field == "official_name", name).otherwise(plain)
+    return F.when(F.coalesce(snippet, F.lit("")) == "", neither).otherwise(rules)
+
+
+def verify_fields(values: DataFrame, results: DataFrame) -> DataFrame:
+    """``values`` (brand, field, value) with the tier that search ``results`` (brand, field, n, rank, url, snippet, tier) support.
+
+    The first RESULTS of the first QUERIES queries count, tier D never. Support of tier C alone is weak and upgrades
+    nothing; one S or two A or B contradictions take the value down to D. Without any result it is unconfirmed.
+    """
+    used = results.where((F.col("n") <= QUERIES) & (F.col("rank") <= RESULTS) & (F.col("tier") != "D"))
+    met = used.select("brand", "field", "n", "rank", "url", "snippet", "tier").join(values, ["brand", "field"]).withColumn("m", verifier_matches(F.col("field"), F.col("value"), F.col("snippet"), F.col("url")))
+    good, bad, tier = F.col("m.is_match"), F.col("m.is_contradiction"), F.col("tier")
+    firm = good & tier.isin("S", "A", "B")
+    counts = [F.count_if(good & (tier == x)).alias(f"good_{x}") for x in "SABC"] + [F.count_if(bad & (tier == x)).alias(f"bad_{x}") for x in "SAB"]
+    score = F.round(F.avg(F.when(firm, F.coalesce("m.score", F.lit(0.5)))), 3).alias("found_score")
+    # at most QUERIES * RESULTS rows a field
+    sources = F.slice(F.transform(F.array_sort(F.collect_list(F.when(firm, F.struct("n", "rank", "url")))), lambda s: s["url"]), 1, 5).alias("found_sources")
+    g = met.groupBy("brand", "field").agg(*counts, score, sources)
+    n = lambda *x: sum((F.coalesce(F.col(c), F.lit(0)) for c in x[1:]), F.coalesce(F.col(x[0]), F.lit(0)))
+    down, ab = (n("bad_S") > 0) | (n("bad_A", "bad_B") >= 2), n("good_A", "good_B")
+    s, a = n("good_S") > 0, n("good_A") > 0
+    status = (
+        F.when(down, "contradicted").when(s, "confirmed_strong").when(a & (ab >= 2), "confirmed_multi").when(a, "confirmed_strong")
+        .when(ab >= 2, "confirmed_multi").when(ab == 1, "confirmed_single").when(n("good_C") > 0, "weak_support").otherwise("unconfirmed")
+    )
+    level = F.when(down, "D").when(s, "A").when(ab > 0, "B").otherwise("C")
+    held = ~down & (s | (ab > 0))
+    return values.join(g, ["brand", "field"], "left").select(
+        "brand", "field", "value", level.alias("validated_tier"), status.alias("validation_status"),
+        F.when(held, F.col("found_score")).otherwise(0.0).alias("match_score"), F.when(held, F.col("found_sources")).otherwise(F.array().cast("array<string>")).alias("matched_sources"),
+    )

@@ -163,15 +163,6 @@ def _(s, d):
     return table(s, d, "part").groupBy("p_brand").agg(n.alias("n"), k.alias("n_invalid"), (k / n <= 0.2).alias("can_collect"))
 
 
-@query(
-    "c27_template_codes",
-    "SELECT p_partkey, array_to_string(list_filter([CASE WHEN length(p_name) < 9 THEN 'TOO_SHORT' END, CASE WHEN NOT contains(p_name, 'ring') THEN 'NO_BRAND' END, CASE WHEN p_size > 40 THEN 'TOO_BROAD' END], lambda x: x IS NOT NULL), ',') AS codes FROM part",
-)
-def _(s, d):
-    codes = F.array_compact(F.array(F.when(F.length("p_name") < 9, "TOO_SHORT"), F.when(~F.contains("p_name", F.lit("ring")), "NO_BRAND"), F.when(F.col("p_size") > 40, "TOO_BROAD")))
-    return table(s, d, "part").select("p_partkey", F.array_join(codes, ",").alias("codes"))
-
-
 @query(
     "c28_version_diff",
     "WITH a AS (SELECT p_partkey AS id, p_brand AS brand, p_type AS type FROM part), b AS (SELECT p_partkey AS id, CASE WHEN p_size < 5 THEN 'x' ELSE p_brand END AS brand, p_type AS type FROM part) SELECT id, 'brand' AS field, a.brand AS old, b.brand AS new FROM a JOIN b USING (id) WHERE a.brand <> b.brand UNION ALL SELECT id, 'type', a.type, b.type FROM a JOIN b USING (id) WHERE a.type <> b.type",
@@ -183,19 +174,6 @@ def _(s, d):
     return old.join(new, ["id", "field"]).where("old <> new")
 
 
-@query(
-    "c29_industry_classifier",
-    """WITH s AS (SELECT doc_id, k.name, len(list_filter(k.words, lambda w: contains(text, w))) / len(k.words) AS score FROM documents, (SELECT unnest([{'name': 'food', 'words': ['idiot', 'ation', 'heit']}, {'name': 'law', 'words': ['icense', 'GPL', 'MIT']}, {'name': 'web', 'words': ['example.com', 'http']}]) AS k) q)
-    SELECT doc_id, name AS industry, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1""",
-)
-def _(s, d):
-    # a few industries: scores are columns, so that no join multiplies the documents
-    words = {"food": ("idiot", "ation", "heit"), "law": ("icense", "GPL", "MIT"), "web": ("example.com", "http")}
-    scores = F.array(*[F.struct((T.count_contains(F.col("text"), w) / len(w)).alias("score"), F.lit(name).alias("industry")) for name, w in words.items()])
-    best = F.get(F.array_sort(scores, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["industry"] < b["industry"], -1).otherwise(1)), 0)
-    return table(s, d, "documents").select("doc_id", best.alias("best")).where("best.score > 0").select("doc_id", "best.industry", F.round("best.score", 6).alias("score"))
-
-
 @query("c34_longest_answer", "SELECT source AS field, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS n FROM documents GROUP BY 1")
 def _(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("field")).agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("n"))

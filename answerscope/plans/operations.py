@@ -167,13 +167,6 @@ def _(s, d):
     return l.groupBy((F.col("l_suppkey") % 20).alias("field"), F.col("l_returnflag").alias("severity")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field", "severity").limit(10)
 
 
-@query("q7_report_score", "SELECT doc_id, greatest(0, 100 - 20 * (length(text) < 200)::INT - 15 * contains(text, '###')::INT - 10 * contains(text, '!!')::INT) AS score FROM documents")
-def _(s, d):
-    hit = lambda c, n: n * c.cast("int")
-    t = F.col("text")
-    return table(s, d, "documents").select("doc_id", F.greatest(F.lit(0), 100 - hit(F.length(t) < 200, 20) - hit(F.contains(t, F.lit("###")), 15) - hit(F.contains(t, F.lit("!!")), 10)).alias("score"))
-
-
 @query("q8_content_packages", "SELECT o_custkey, CASE min(o_orderpriority) WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' ELSE 'low' END AS risk, CASE WHEN min(o_orderpriority) = '1-URGENT' THEN 'needs_review' ELSE 'draft' END AS status FROM orders GROUP BY 1")
 def _(s, d):
     worst = F.min("o_orderpriority")
@@ -239,16 +232,6 @@ def _(s, d):
     return table(s, d, "events").groupBy("user_id").agg(n.alias("counted"), m.alias("recorded"), (n != m).alias("differs"))
 
 
-@query(
-    "x4_platform_health",
-    "SELECT user_id, round(count(*) FILTER (event_type <> 'error') / count(*), 4) AS success_rate, max(event_id) FILTER (event_type <> 'error') AS last_ok, max(event_id) FILTER (event_type = 'error') AS last_error, CASE WHEN count(*) FILTER (event_type <> 'error') / count(*) >= 0.85 THEN 'healthy' WHEN count(*) FILTER (event_type <> 'error') / count(*) >= 0.7 THEN 'degraded' ELSE 'failing' END AS status FROM events GROUP BY 1",
-)
-def _(s, d):
-    ok = F.col("event_type") != "error"
-    share = F.count_if(ok) / F.count("*")
-    return table(s, d, "events").groupBy("user_id").agg(F.round(share, 4).alias("success_rate"), F.max(F.when(ok, F.col("event_id"))).alias("last_ok"), F.max(F.when(~ok, F.col("event_id"))).alias("last_error"), T.ladder(share, [(0.85, "healthy"), (0.7, "degraded")], "failing").alias("status"))
-
-
 @query("x5_queue_summary", "SELECT count(*) FILTER (o_orderstatus = 'P') AS running, count(*) FILTER (o_orderstatus = 'O') AS queued, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total FROM orders")
 def _(s, d):
     n = lambda x: F.count_if(F.col("o_orderstatus") == x)
