@@ -36,8 +36,8 @@ from answerscope.llm.common import whole_text, written
 END_ID = 1
 #: Pieces of one length that are ranked in one group, about; a commoner length is dealt to more groups.
 RANKED = 50_000
-#: Words that a task remembers the ids of; a bound on memory only.
-CACHE_WORDS = 120_000
+#: Words that a worker remembers the ids of, twice; a bound on memory only.
+CACHE_WORDS = 300_000
 #: Letters whose lower case and composed form are single letters, with marks after them that make one piece.
 PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$&%#*]*)$", re.M)
 ODD_SPACE, OTHER = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\x00-\xff]")
@@ -60,6 +60,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -81,9 +82,12 @@ class WordEncoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+        if len(self.known) > CACHE_WORDS:  # words that are met again come back from the generation before
+            self.known, self.before = {}, self.known
         new = words.difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in again)
+        new -= again
         found = PLAIN.findall("\n".join(new))
         plain = list({base for base, _ in found}.difference(self.known))
         self.known.update(zip(plain, self._letters(plain), strict=True))
