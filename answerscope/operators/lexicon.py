@@ -24,11 +24,13 @@ NATURE_WORDS = {
 
 # Negations that void a word within five characters.
 NEGATIONS = ("不是", "并非", "没有", "不认为", "无法", "不能", "并非如此", "并不", "并未", "决不", "绝非", "否认", "澄清", "驳斥", "辟谣", "不", "未", "无", "尚未", "难以", "不一定", "并不意味着", "不代表", "未必")
+# The same in English.
 NEGATIONS_EN = ("not", "isn't", "aren't", "doesn't", "don't", "never", "no longer", "cannot", "can't")
 
 # Patterns of numbers and of counting phrases.
 NUMERIC = r"(?i)[0-9]{4}\s*年|[0-9]{1,2}\s*月|[0-9]{1,2}\s*日|第\s*[0-9]+|[0-9]+[家个项次名位只台座间处所]|[0-9]+[%％]|百分之\s*[0-9]+|[0-9]+\s*[万亿]|[0-9]+\s*[元块]|[0-9]+[倍成]|\$[0-9]+[BKMT]?|[0-9]+\s*(stores|employees|locations|users|customers|revenue|million|billion|trillion)"
 STRUCTURAL = r"截至\s*[0-9]{4}|累计\s*[0-9]+|已有\s*[0-9]+|超过\s*[0-9]+|达到\s*[0-9]+|共\s*[0-9]+|[0-9]+\s*[～~至到-]\s*[0-9]+"
+# Particles that make a question or a guess of a statement.
 PARTICLES = ("吧", "吗", "呢")
 
 # Words that show which field of the fact record a sentence is about, in the order in which they are tried.
@@ -45,13 +47,21 @@ FIELD_SIGNALS = {
     "core_scenarios": ("场景", "用途", "应用", "解决", "需求"),
     "forbidden_claims": ("领先", "第一", "最大", "最好", "唯一", "最强", "最"),
 }
+# What a claim about a field is about.
 PREDICATES = {"official_name": "identity", "industry": "industry", "category": "industry", "positioning": "positioning", "target_users": "target_user", "core_products": "product", "core_features": "product", "key_differentiators": "positioning", "target_competitors": "competitor", "core_scenarios": "scenario", "forbidden_claims": "reputation"}
+# Kinds of error by field.
 ERROR_TYPES = {"official_name": "identity_error", "category": "category_error", "industry": "category_error", "positioning": "positioning_error", "core_products": "feature_error", "core_features": "feature_error", "target_competitors": "competitor_confusion"}
+# Words of answers about a category.
 INDUSTRY_WORDS = ("行业", "品类", "工具", "平台", "推荐", "选择")
+# Words that claim too much.
 OVERCLAIMS = ("领先", "第一", "最大", "最好", "唯一", "最强", "顶级", "绝对")
+# Words of absolute claims.
 ABSOLUTES = ("唯一", "第一", "最安全", "100%", "绝对", "官方认证最好", "唯一获得", "唯一通过", "唯一拥有")
+# Predicates whose errors weigh much.
 HIGH_RISK_PREDICATES = ("identity", "financial_performance", "regulatory_status", "health_effect", "safety", "legal_compliance", "pricing")
+# Predicates whose errors weigh little.
 LOW_RISK_PREDICATES = ("reputation", "scenario", "target_user")
+# Opinions that are put as absolute.
 ABSOLUTE_OPINIONS = ("唯一", "第一", "100%", "绝对", "完全", "彻底", "最好")
 
 # Terms that are risky in a regulated industry, and the industries they hold for.
@@ -60,4 +70,5 @@ RISK_TERMS = {
     "healthcare": ("治愈", "疗效", "无副作用", "临床证明", "药监局批准", "治疗效果", "根治", "特效", "包治", "有效率", "治愈率", "无创", "微创", "100%有效", "彻底治愈", "药到病除", "副作用为零"),
     "education_training": ("保过", "包就业", "稳上岸", "录取保证", "提分", "名师押题", "100%通过", "保证录取", "包过", "包教包会", "签约保分", "考试必过", "保证提分", "不通过退款"),
 }
+# The risk list of each industry.
 RISK_INDUSTRIES = {"banking": "financial_services", "insurance": "financial_services", "securities": "financial_services", "fintech": "financial_services", "healthcare": "healthcare", "pharmaceutical": "healthcare", "medical_device": "healthcare", "education": "education_training", "edtech": "education_training", "training": "education_training"}
