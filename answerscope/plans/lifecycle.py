@@ -20,6 +20,23 @@ def _(s, d):
     return readers.json_lines(s, path).select("claim_text", "expected_claim_nature")
 
 
+@query(
+    "s3_landed_answers",
+    """WITH a AS (SELECT user_id % 40 AS template, event_type AS platform, ts, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'said ' || event_id END AS said, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'odd' ELSE 'success' END AS status FROM events),
+    l AS (SELECT template, platform, arg_max({'said': trim(said), 'status': status}, ts) AS r FROM a GROUP BY 1, 2)
+    SELECT template::VARCHAR AS template_id, platform, r.said AS answer_text, CASE WHEN r.status = 'odd' THEN 'parse_failed' WHEN r.status = 'success' AND r.said = '' THEN 'empty_response' ELSE r.status END AS status FROM l WHERE platform <> 'signup'""",
+)
+def _(s, d):
+    k = F.col("event_id")
+    landed = table(s, d, "events").select(
+        F.lit("run").alias("collection_run_id"), F.lit("b").alias("brand_id"), (F.col("user_id") % 40).cast("string").alias("template_id"), F.col("event_type").alias("platform"), F.lit("q").alias("question"),
+        F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("said "), k.cast("string"))).alias("answer_text"), F.when(k % 4 == 0, "timeout").when(k % 4 == 1, "odd").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("collected_at"),
+    )
+    path = scratch.scratch_path(s, "answers")
+    landed.write.partitionBy("platform").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return readers.landed_answers(s, path).where("platform <> 'signup'").select("template_id", "platform", "answer_text", "status")
+
+
 @query("k1_append", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
 def _(s, d):
     o, path = table(s, d, "orders"), scratch.scratch_path(s, "appended")

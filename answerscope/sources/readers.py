@@ -21,6 +21,19 @@ def json_lines(spark: SparkSession, path: str, schema: str = GOLDEN) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def landed_answers(spark: SparkSession, path: str) -> DataFrame:
+    """The latest answer to each question of a run and template, from JSON lines in a folder per platform (platform=...).
+
+    Platform filters prune folders. An unknown status is a parse failure; a success without text is an empty response.
+    Answers collected at the same time tie by text.
+    """
+    landed = spark.read.schema(ANSWERS).json(path)
+    keys, text = ["collection_run_id", "brand_id", "template_id", "platform", "question"], F.trim(F.coalesce("answer_text", F.lit("")))
+    status = F.when(~F.coalesce(F.col("status").isin(*MODES), F.lit(False)), "parse_failed").when((F.col("status") == "success") & (text == ""), "empty_response").otherwise(F.col("status"))
+    latest = landed.groupBy(*keys).agg(F.max(F.struct("collected_at", text.alias("answer_text"), status.alias("status"), "organization_id")).alias("last"))
+    return latest.select(*keys, "last.*")
+
+
 def with_parameters(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], **values) -> DataFrame:
     """SQL text with named parameters and DataFrames for its relations."""
     return spark.sql(sql, args=values, **views)
