@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import fingerprints, gif, line_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
+from answerscope.llm import conversations, fingerprints, gif, line_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -102,6 +102,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(conversations.damaged(rows))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversations": op11_conversations,
 }
 
 def line_sql() -> str:
