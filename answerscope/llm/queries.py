@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import conversations, fingerprints, gif, line_dedup, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
+from answerscope.llm import conversations, fingerprints, gif, line_dedup, merkle, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -107,6 +107,20 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows))
 
 
+def merkle_manifest(docs: DataFrame) -> DataFrame:
+    """The manifest of ``docs``, verified for texts of which every other one, by its id's checksum, has lost its line feeds."""
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(hit, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "source", merkle.leaf([*columns, F.col("text")]).alias("node"), merkle.leaf([*columns, shown]).alias("shown"))
+    proved = merkle.manifest(leaves)
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -119,6 +133,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversations": op11_conversations,
+    "op13_merkle": op13_merkle,
 }
 
 def line_sql() -> str:
