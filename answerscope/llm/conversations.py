@@ -138,7 +138,7 @@ def square(costs: list, audits: list) -> Matrix:
 
 
 COUNTS = ["blank", "duplicate", "truncated", "illegal"]
-STRETCHES = "conv_id {id}, stretch long, costs array<long>, audits array<string>, first string, last string, turns long, lo long, hi long, blank long, duplicate long, truncated long, illegal long"
+STRETCHES = "conv_id string, stretch long, costs array<long>, audits array<string>, first string, last string, turns long, lo long, hi long, blank long, duplicate long, truncated long, illegal long"
 
 
 def stretch_of(batches):
@@ -214,21 +214,19 @@ def coded(rows: DataFrame) -> DataFrame:
 
 def audits(turns: DataFrame) -> DataFrame:
     """One row per conversation with its counts, turns and the 16 elements of its product."""
-    id_type = turns.schema["conv_id"].dataType.simpleString()
-    schema = STRETCHES.format(id=id_type)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])
     # a stretch is what one range partition holds of a conversation
     stretches = turns.groupBy("conv_id", F.shiftright("pos", 33).alias("stretch")).agg(
         F.array_join(pieces, "").alias("codes"), F.size(F.collect_set("turn")).cast("long").alias("turns"), F.min("turn").alias("lo"), F.max("turn").alias("hi")
     )
     columns = ["conv_id", "stretch", "costs", "audits", "first", "last", "turns", "lo", "hi", *COUNTS]
-    scanned = written(stretches.mapInPandas(lambda b: (p[columns] for p in stretch_of(b)), schema), "turns-stretches")
+    scanned = written(stretches.mapInPandas(lambda b: (p[columns] for p in stretch_of(b)), STRETCHES), "turns-stretches")
     most = scanned.agg(F.max("stretch")).first()[0] or 0
     while True:
         group = F.floor(F.col("stretch") / FANOUT).cast("long").alias("stretch")
         fields = [c for c in columns if c not in ("conv_id", "stretch")]
         grouped = scanned.groupBy("conv_id", group).agg(F.array_sort(F.collect_list(F.struct("stretch", *fields))).alias("parts"))
-        scanned = written(grouped.mapInPandas(lambda b: (p[columns] for p in joined(b)), schema), "turns-joined")
+        scanned = written(grouped.mapInPandas(lambda b: (p[columns] for p in joined(b)), STRETCHES), "turns-joined")
         if most < FANOUT:
             return scanned
         most //= FANOUT
@@ -281,8 +279,10 @@ def repair(rows: DataFrame) -> DataFrame:
     """Per conversation of ``rows`` (conv_id, turn, role, text, live): gaps, faults, cost and audit of the cheapest repair, and its digest.
 
     Rows that are not live don't count, but their conversations are listed."""
-    id_type = rows.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {id_type}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+    # ids pass through Python as text: with nulls among them, large integers would lose digits
+    back = F.col("conv_id").cast(rows.schema["conv_id"].dataType)
+    rows = rows.withColumn("conv_id", F.col("conv_id").cast("string"))
+    schema = "conv_id string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
     whole = audits(coded(rows))
     gaps = F.coalesce(F.col("hi") - F.col("lo") + 1 - F.col("turns"), F.lit(0)).alias("gaps")
     edits = written(whole.select("conv_id", gaps, *COUNTS, "costs", "audits").mapInPandas(finished, schema), "turns-edits")
@@ -290,4 +290,4 @@ def repair(rows: DataFrame) -> DataFrame:
     texts = rows.where("live").select("conv_id", F.lit(1).alias("kind"), "turn", "role", "text", *ordered_columns())
     stream = heads.unionByName(texts, allowMissingColumns=True).repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "role", "head", "digest")
     light = stream.select("conv_id", "kind", "role", "text", "gaps", *COUNTS, "cost", "audit")
-    return light.mapInPandas(repaired_hashes, schema + ", repaired_sha256 string")
+    return light.mapInPandas(repaired_hashes, schema + ", repaired_sha256 string").withColumn("conv_id", back)

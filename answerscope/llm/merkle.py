@@ -163,7 +163,9 @@ def manifest(rows: DataFrame) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root) for ``rows`` (doc_id, source, node, shown): ``node`` is the leaf, ``shown`` what stands for it when it is verified.
 
     Rows of a source form a tree by doc_id; the trees' roots form one more by source."""
-    placed = written(numbered(rows, "source", "doc_id", "node"), "merkle-leaves")
+    # ids pass through Python as text: with nulls among them, large integers would lose digits
+    placed = written(numbered(rows, "source", "doc_id", "node").withColumn("doc_id", F.col("doc_id").cast("string")), "merkle-leaves")
+    back = F.col("doc_id").cast(rows.schema["doc_id"].dataType)
     steps, subroots = climb(placed, "source")
     listed = numbered(subroots.withColumn("all", F.lit(0)), "all", "source")
     upper, root = climb(listed, "all")
@@ -184,8 +186,8 @@ def manifest(rows: DataFrame) -> DataFrame:
         folded = [fold(n, p) for n, p in zip(part["shown"], full, strict=True)]
         return part[["doc_id", "subroot", "root"]].assign(leaf=part["node"], proof_sha256=[proof(p) for p in full], folded_root=folded)
 
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, subroot string, root string, leaf string, proof_sha256 string, folded_root string"
+    shape = "doc_id string, subroot string, root string, leaf string, proof_sha256 string, folded_root string"
     if steps:
-        return descend(steps, tops, "source", verified, shape)
+        return descend(steps, tops, "source", verified, shape).withColumn("doc_id", back)
     alone = placed.join(tops, placed["source"].eqNullSafe(tops["source"])).drop("source")
-    return alone.mapInPandas(lambda batches: (verified(p, p["path"].tolist()) for p in batches), shape)
+    return alone.mapInPandas(lambda batches: (verified(p, p["path"].tolist()) for p in batches), shape).withColumn("doc_id", back)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm import conversations, fingerprints, gif, line_dedup, merkle, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
+from answerscope.llm import conversations, fingerprints, gif, html_extraction, line_dedup, merkle, mixing, near_dedup, packing, pii, secrets, substring_dedup, toxicity
 from answerscope.llm.common import documents, whole_text, written
 
 
@@ -107,6 +107,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def merkle_manifest(docs: DataFrame) -> DataFrame:
     """The manifest of ``docs``, verified for texts of which every other one, by its id's checksum, has lost its line feeds."""
     hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -133,6 +137,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversations": op11_conversations,
+    "op12_html_extraction": op12_html_extraction,
     "op13_merkle": op13_merkle,
 }
 
