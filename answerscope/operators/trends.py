@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from answerscope.functions import text as T
+from answerscope.operators.ranking import numbered
 
 KEYS = ("entity", "kpi")
 
@@ -84,22 +85,27 @@ def change_scope(n_platforms: Column, competitors: Column, industry: Column) ->
 THRESHOLDS = {"citation_rate": 0.03, "recommendation_quality": 0.03}
 
 
-def attribution(published: DataFrame, series: DataFrame, pre_days: int = 14, lag_days: int = 7, count: int = 2, horizon_days: int = 60) -> DataFrame:
-    """Per publication: the last ``count`` values before it against the first ones after the lag, with an effect label.
+def attribution(published: DataFrame, series: DataFrame, pre_days: int = 14, lag_days: int = 7, count: int = 2) -> DataFrame:
+    """Per publication: the last ``count`` values before it against the first ones after the lag, however late, with an effect label.
 
-    ``published``: id, entity, at, confounded, threshold. ``series``: entity, ts,
-    value. Weeks make the range condition an equi-join; the horizon bounds
-    how far after a publication its first values may lie.
+    ``published``: id, entity, at, confounded, threshold. ``series``: entity, ts, value. Values and the two marks of each
+    publication are numbered in one range sort; a mark's number among the values of its entity says which values it needs,
+    so that the rest is an equi-join by entity and number.
     """
-    week = lambda ts: F.floor(F.unix_date(ts.cast("date")) / 7)
-    lo, hi = F.col("at") - F.make_interval(days=F.lit(pre_days)), F.col("at") + F.make_interval(days=F.lit(horizon_days))
-    spread = published.withColumn("week", F.explode(F.sequence(week(lo), week(hi))))
-    met = spread.join(series.select("entity", "ts", "value", week(F.col("ts")).alias("week")), ["entity", "week"])
-    before = (F.col("ts") >= lo) & (F.col("ts") < F.col("at"))
-    after = (F.col("ts") >= F.col("at") + F.make_interval(days=F.lit(lag_days))) & (F.col("ts") <= hi)
-    sides = met.where(before | after).withColumn("side", F.when(before, "pre").otherwise("post"))
-    pre_order, post_order = W.partitionBy("id", "side").orderBy(F.desc("ts"), F.desc("value")), W.partitionBy("id", "side").orderBy("ts", "value")
-    near = sides.withColumn("i", F.when(F.col("side") == "pre", F.row_number().over(pre_order)).otherwise(F.row_number().over(post_order))).where(F.col("i") <= count)
+    day = lambda n: F.make_interval(days=F.lit(n))
+    marks = published.select("id", "entity", F.explode(F.array(F.struct(F.lit("pre").alias("side"), F.col("at").alias("ts")), F.struct(F.lit("post").alias("side"), (F.col("at") + day(lag_days)).alias("ts")))).alias("mark")).select("id", "entity", "mark.*")
+    values = series.where("ts is not null and value is not null").select("entity", "ts", "value")
+    both = marks.withColumn("is_value", F.lit(0)).unionByName(values.withColumn("is_value", F.lit(1)), allowMissingColumns=True)
+    # a mark stands before the values of its own time
+    placed = numbered(both, ["entity"], [F.col("ts"), F.col("is_value"), F.col("value"), F.col("id")])
+    # among marks and values each has a place; among marks alone another; their difference counts the values before a mark
+    held = numbered(placed.where("is_value = 0").drop("size"), ["entity"], [F.col("place")], "mark_place")
+    upto = held.select("id", "entity", "side", (F.col("place") - F.col("mark_place")).alias("n_before"))
+    wanted = F.when(F.col("side") == "pre", F.sequence(F.col("n_before") - (count - 1), F.col("n_before"))).otherwise(F.sequence(F.col("n_before") + 1, F.col("n_before") + count))
+    asked = upto.select("id", "entity", "side", F.explode(wanted).alias("i"))
+    by_number = numbered(placed.where("is_value = 1").select("entity", "ts", "value", F.col("place").alias("order")), ["entity"], [F.col("order")], "i").select("entity", "i", "ts", "value")
+    met = asked.join(by_number, ["entity", "i"]).join(published.select("id", "at", "confounded", "threshold"), "id")
+    near = met.where((F.col("side") == "post") | (F.col("ts") >= F.col("at") - day(pre_days)))
     of = lambda side: F.avg(F.when(F.col("side") == side, F.col("value")))
     n = lambda side: F.count_if(F.col("side") == side)
     found = near.groupBy("id").agg(of("pre").alias("pre"), of("post").alias("post"), n("pre").alias("n_pre"), n("post").alias("n_post"), F.first("confounded").alias("confounded"), F.first("threshold").alias("threshold")).where((F.col("n_pre") >= count) & (F.col("n_post") >= count))

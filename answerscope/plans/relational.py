@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerscope.operators.ranking import numbered
 from answerscope.plans.registry import query, table
 
 # --- filters and projections -------------------------------------------------
@@ -322,13 +323,11 @@ def _(s, d):
     SELECT user_id, max(CASE WHEN i = CASE WHEN n >= 20 THEN floor(n * 0.95) + 1 ELSE n END THEN value END) AS p95, round(avg(value), 4) AS mean FROM s GROUP BY 1""",
 )
 def _(s, d):
-    # rows of one value are counted first and no group is collected; the running count finds the value at the rank
-    e = table(s, d, "events")
-    total = e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-    index = F.when(F.col("n") >= 20, F.floor(F.col("n") * F.expr("0.95BD")) + 1).otherwise(F.col("n"))
-    upto = F.sum("k").over(W.partitionBy("user_id").orderBy(F.col("value").asc_nulls_last()))
-    counted = e.groupBy("user_id", "value").agg(F.count("*").alias("k")).withColumn("upto", upto).join(total, "user_id")
-    return counted.groupBy("user_id").agg(F.min(F.when(F.col("upto") >= index, F.col("value"))).alias("p95"), F.first("mean").alias("mean"))
+    # places come from one range sort, which splits large groups; the value at the wanted place is one row
+    e = table(s, d, "events").select("user_id", "value")
+    placed = numbered(e, ["user_id"], [F.col("value").asc_nulls_last()])
+    index = F.when(F.col("size") >= 20, F.floor(F.col("size") * F.expr("0.95BD")) + 1).otherwise(F.col("size"))
+    return placed.groupBy("user_id").agg(F.max(F.when(F.col("place") == index, F.col("value"))).alias("p95"), F.round(F.avg("value"), 4).alias("mean"))
 
 
 @query("a17_set_sizes", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses, count(DISTINCT o_orderpriority) AS n_priorities FROM orders GROUP BY 1")

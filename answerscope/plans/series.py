@@ -157,14 +157,14 @@ def _(s, d):
 
 @query(
     "r7_attribution",
-    """WITH p AS (SELECT event_id AS id, user_id AS entity, ts AS at_, event_id % 5 = 0 AS confounded, 0.05 AS threshold FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-16'), e AS (SELECT user_id AS entity, ts, value / 397 AS value FROM events WHERE event_type <> 'signup'),
-    b AS (SELECT id, value FROM p JOIN e USING (entity) WHERE ts >= at_ - INTERVAL 14 DAY AND ts < at_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, value DESC) <= 2), a AS (SELECT id, value FROM p JOIN e USING (entity) WHERE ts >= at_ + INTERVAL 7 DAY AND ts <= at_ + INTERVAL 60 DAY QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, value) <= 2),
+    """WITH p AS (SELECT event_id AS id, user_id AS entity, ts AS at_, event_id % 5 = 0 AS confounded, 0.05 AS threshold FROM events WHERE event_type = 'signup'), e AS (SELECT user_id AS entity, ts, value / 397 AS value FROM events WHERE event_type <> 'signup'),
+    b AS (SELECT id, value FROM p JOIN e USING (entity) WHERE ts >= at_ - INTERVAL 14 DAY AND ts < at_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, value DESC) <= 2), a AS (SELECT id, value FROM p JOIN e USING (entity) WHERE ts >= at_ + INTERVAL 7 DAY QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, value) <= 2),
     g AS (SELECT p.*, pre, post FROM p JOIN (SELECT id, avg(value) AS pre FROM b GROUP BY 1 HAVING count(*) >= 2) USING (id) JOIN (SELECT id, avg(value) AS post FROM a GROUP BY 1 HAVING count(*) >= 2) USING (id))
     SELECT id, round(pre, 4) AS pre_avg, round(post, 4) AS post_avg, round(post - pre, 4) AS change, abs(post - pre) >= threshold AS is_meaningful, CASE WHEN confounded THEN 'confounded' WHEN abs(post - pre) < threshold THEN 'no_obvious_effect' WHEN post - pre > threshold THEN 'possible_action_effect' ELSE 'negative_effect_possible' END AS label FROM g""",
 )
 def _(s, d):
     e = table(s, d, "events")
-    p = e.where("event_type = 'signup' and ts >= timestamp_ntz '2024-01-10' and ts < timestamp_ntz '2024-01-16'").select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), (F.col("event_id") % 5 == 0).alias("confounded"), F.lit(0.05).alias("threshold"))
+    p = e.where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), (F.col("event_id") % 5 == 0).alias("confounded"), F.lit(0.05).alias("threshold"))
     return R.attribution(p, e.where("event_type <> 'signup'").select(F.col("user_id").alias("entity"), "ts", (F.col("value") / 397).alias("value")))
 
 

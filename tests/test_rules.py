@@ -3,6 +3,7 @@
 import pandas as pd
 import pytest
 from answerscope.operators import claims, kpi, trends
+from answerscope.plans import operations  # noqa: F401  (registers the stream queries)
 from answerscope.streaming import flows
 from pyspark.sql import functions as F
 
@@ -143,3 +144,32 @@ def test_json_lines_fanout_and_queries_take_whole_tables(spark, data):
     n = {t: spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("part", "nation", "region")}
     got = {q: registry.QUERIES[q](spark, data).count() for q in ("s7_json_lines", "j12_job_fanout", "c21_queries")}
     assert got == {"s7_json_lines": n["part"], "j12_job_fanout": 3 * n["nation"] * n["region"], "c21_queries": 3 * n["nation"]}
+
+
+def test_attribution_waits_for_late_values(spark):
+    """The first values after the lag count however late they come; those long before don't; ties and other entities."""
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    published = spark.createDataFrame([(1, "a", day(20), False, 0.1), (2, "a", day(5), True, 0.1), (3, "b", day(20), False, 0.1), (4, "c", day(20), False, 0.1)], "id long, entity string, at timestamp_ntz, confounded boolean, threshold double")
+    values = [("a", 1, 0.9), ("a", 2, 0.1), ("a", 10, 0.2), ("a", 12, 0.4), ("a", 20, 9.0), ("a", 26, 9.0), ("a", 110, 0.8), ("a", 110, 0.6), ("a", 200, 5.0), ("b", 1, 0.1), ("b", 2, 0.1), ("b", 30, 0.1), ("b", 31, 0.1), ("c", 15, 0.5)]
+    series = spark.createDataFrame([(e, day(n), v) for e, n, v in values], "entity string, ts timestamp_ntz, value double")
+    got = {r.id: (r.pre_avg, r.post_avg, r.change, r.label) for r in trends.attribution(published, series).collect()}
+    assert got == {1: (0.3, 0.7, 0.4, "possible_action_effect"), 2: (0.5, 4.7, 4.2, "confounded")}
+
+
+def test_numbered_equals_row_number(spark):
+    import random
+
+    from answerscope.operators.ranking import numbered
+
+    random.seed(3)
+    rows = [(random.choice(["hot"] * 8 + ["a", "b", None]), random.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(7)
+    got = numbered(df, ["k"], [F.col("v").desc_nulls_last(), F.col("i")]).collect()
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want |= {r[2]: (j + 1, len(own)) for j, r in enumerate(own)}
+    assert {r.i: (r.place, r.size) for r in got} == want
+    assert numbered(df.limit(0), ["k"], [F.col("i")]).count() == 0
