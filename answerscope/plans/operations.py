@@ -318,12 +318,12 @@ def _(s, d):
 
 @query("st2_tumbling_counts", "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
-    return flows.drained(flows.tumbling(stream(s, d)), "complete")
+    return flows.drained(flows.tumbling(stream(s, d)), ["user_id", "bucket"])
 
 
 @query("st3_sliding_counts", "SELECT event_type, start, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS tokens FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1, 2")
 def _(s, d):
-    return flows.drained(flows.sliding(stream(s, d)), "complete")
+    return flows.drained(flows.sliding(stream(s, d)), ["event_type", "start"])
 
 
 @query("st4_circuit_breaker")
@@ -348,9 +348,9 @@ def _(s, d):
     return done.groupBy((F.col("to_state") == "error").alias("failed")).agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
 
 
-@query("st7_sessions", "WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS cut FROM events), s AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("st7_sessions", "WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS cut FROM events), s AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(s, d):
-    return flows.drained(flows.sessions(stream(s, d)), "complete")
+    return flows.drained(flows.sessions(stream(s, d)))
 
 
 @query("st8_retry_policy", "SELECT event_id, CASE WHEN event_id % 6 >= 4 THEN 'dead' WHEN ts < TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR THEN 'aged_out' ELSE 'retry' END AS action, CASE event_id % 6 WHEN 0 THEN 300 WHEN 1 THEN 900 ELSE 1800 END AS wait_s FROM events WHERE event_type = 'error'")
@@ -374,7 +374,7 @@ def _(s, d):
 
 @query("st11_alert_upsert", "SELECT user_id, count(*) FILTER (event_type IN ('error', 'signup')) AS occurrences, max(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS severity, arg_max(event_type, event_id) = 'purchase' AS resolved FROM events GROUP BY 1")
 def _(s, d):
-    return flows.drained(flows.alert_table(stream(s, d)), "complete")
+    return flows.drained(flows.alert_table(stream(s, d)), ["user_id"])
 
 
 @query("st17_status_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'unknown' END AS run_status FROM orders")

@@ -24,17 +24,23 @@ def read(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     return stream.parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now, run through the stream; each batch replaces its own files, so a retry repeats nothing."""
+def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Everything that is there now, run through the stream; each batch replaces its own files, so a retry repeats nothing.
+
+    Without ``keys`` the stream appends finished rows. With them it writes only the rows that a batch changed, and the last
+    row of each key counts: neither state nor output is rewritten as a whole."""
     spark = stream.sparkSession
     path, at = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
+    run = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
+    if keys is None:
+        return rows.select(*stream.columns)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row")).select("row.*")
 
 
 def hourly_alerts(events: DataFrame) -> DataFrame:
