@@ -1,8 +1,9 @@
 """Industry of a brand by weighted signals.
 
 Signal words come as a parameter (industry -> kind of signal -> words), for
-example from a YAML table; weights, caps and ladders are fixed. Each industry's
-score is an expression over the brand's row, so nothing is joined or shuffled.
+example from a YAML table of any size; weights, caps and ladders are fixed. The
+term engine finds all words of all industries in one pass over each text, so
+nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerscope.operators import terms
+
 # Points of a hit and the most a signal can add, in thousandths; labels of the signals.
 POINTS = {"brand_name": (100, 100), "product": (50, 250), "scenario": (40, 150), "competitor": (50, 100), "gt_field": (30, 100), "business_model": (10, 20)}
 LABELS = {"brand_name": "品牌名称", "product": "产品关键词", "scenario": "场景关键词", "competitor": "竞品信号", "gt_field": "GT字段", "business_model": "业务模式"}
@@ -24,28 +27,36 @@ TOO_WEAK = "所有行业得分均过低，无法确定品牌所属行业。建
 Signals = Mapping[str, Mapping[str, Sequence[str]]]
 
 
-def hits(words: Sequence[str], found) -> Column:
-    """How many of the words are found."""
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), found)) if words else F.lit(0)
+def with_terms(brands: DataFrame, signals: Signals) -> DataFrame:
+    """``brands`` with, by kind of text, the signal words found in it: one pass of the term engine over each text."""
+    fields = F.coalesce(F.col("gt_fields"), F.array().cast("array<string>"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    product = F.concat_ws(" ", text("products"), text("official_site"), F.array_join(fields, " "))
+    where = {"brand_name": text("brand_name"), "product": product, "scenario": text("scenarios"), "competitor": text("competitors"), "business_model": product}
+    out = brands.withColumns({f"_in_{kind}": c for kind, c in where.items()})
+    for kind in where:
+        words = {slug: tuple(own.get(kind, ())) for slug, own in signals.items()}
+        out = terms.with_hits(out, f"_in_{kind}", terms.table_of(brands.sparkSession, words), f"_{kind}")
+    return out
 
 
-def inside(text: Column):
-    return lambda w: F.contains(text, w)
+def n_terms(hits: Column, group: str) -> Column:
+    """How many different terms of a group are hit."""
+    return F.size(F.array_distinct(F.transform(F.filter(hits, lambda h: h["group"] == group), lambda h: h["term"])))
 
 
 def scored(signals: Signals) -> Column:
     """Array of (order, position, slug, signals) of the industries, the best first; equal scores keep the given order."""
-    none = F.array().cast("array<string>")
-    fields = F.coalesce(F.col("gt_fields"), none)
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    product = F.concat_ws(" ", text("products"), text("official_site"), F.array_join(fields, " "))
-    where = {"brand_name": text("brand_name"), "product": product, "scenario": text("scenarios"), "competitor": text("competitors"), "business_model": product}
+    fields = F.coalesce(F.col("gt_fields"), F.array().cast("array<string>"))
     rows = []
     for position, (slug, words) in enumerate(signals.items()):
         each = []
         for kind, (points, most) in POINTS.items():
-            found = (lambda w: F.array_contains(fields, w)) if kind == "gt_field" else inside(where[kind])
-            each.append(F.struct(F.lit(kind).alias("signal"), F.least(hits(words.get(kind, ()), found) * points, F.lit(most)).alias("points")))
+            if kind == "gt_field":
+                n = F.size(F.filter(F.array(*[F.lit(w) for w in words.get(kind, ())]).cast("array<string>"), lambda w: F.array_contains(fields, w)))
+            else:
+                n = n_terms(F.col(f"_{kind}"), slug)
+            each.append(F.struct(F.lit(kind).alias("signal"), F.least(n * points, F.lit(most)).alias("points")))
         kept = F.filter(F.array(*each), lambda s: s["points"] > 0)
         total = F.aggregate(kept, F.lit(0), lambda a, s: a + s["points"])
         rows.append(F.struct((-total).alias("order"), F.lit(position).alias("position"), F.lit(slug).alias("slug"), kept.alias("signals")))
@@ -58,7 +69,7 @@ def classify(brands: DataFrame, signals: Signals, names: Mapping[str, str] | Non
     Input columns: brand_name, products, scenarios, competitors, gt_fields (array), official_site; nulls count as empty.
     High confidence needs 0.3 points and a lead of 0.15, medium 0.15 and 0.05, low 0.05; below that the industry is unknown.
     """
-    ranked = brands.withColumn("_ranked", scored(signals))
+    ranked = with_terms(brands, signals).withColumn("_ranked", scored(signals))
     best, points = F.col("_ranked")[0], lambda i: -F.col("_ranked")[i]["order"]
     top, lead = points(0), points(0) - F.coalesce(points(1), F.lit(0))
     confidence = F.when((top >= 300) & (lead >= 150), "high").when((top >= 150) & (lead >= 50), "medium").otherwise("low")

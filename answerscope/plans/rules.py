@@ -11,6 +11,7 @@ from answerscope.operators import claims as C
 from answerscope.operators import evidence as E
 from answerscope.operators import industry as I
 from answerscope.operators import quality as Q
+from answerscope.operators import terms as TE
 from answerscope.plans.registry import query, table
 from answerscope.streaming import flows, folds
 
@@ -66,6 +67,51 @@ def _(s, d):
     return out.select("p_partkey", "primary", "primary_name", "confidence", "score", *[F.array_join(c, ",").alias(c) for c in lists], "needs_confirmation", "reason")
 
 
+# --- terms -------------------------------------------------------------------
+
+
+@query(
+    "c11_term_hits",
+    """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark), t AS (SELECT term FROM w WHERE length(term) >= 6)
+    SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n, (strpos(text, term) - 1)::BIGINT AS first FROM documents JOIN t ON contains(text, term)""",
+)
+def _(s, d):
+    # every word of the benchmark of six letters or more, in every document; of one word no two places overlap
+    words = table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).where(F.length("term") >= 6).distinct()
+    found = TE.with_hits(table(s, d, "documents").select("doc_id", "text"), "text", words.withColumn("group", F.lit("benchmark")))
+    return found.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.term").alias("term")).agg(F.count("*").alias("n"), F.min("h.at").cast("long").alias("first"))
+
+
+FLAGS = {"absolute_claim": ("best", "ing", "100%"), "ad_tone": ("icense", "token"), "sensitive_medical": ("idiot",), "sensitive_financial": ("scum", "heit")}
+
+
+def compliance_sql() -> str:
+    body = "CASE WHEN doc_id % 3 > 0 THEN coalesce(text, '') ELSE lang || ' ' || coalesce(source, '') END"
+    flags = " || ".join(f"list_transform(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(b, w)), lambda w: '{kind}:' || w || ':{TE.SEVERITY.get(kind, 'high')}')" for kind, words in FLAGS.items())
+    return f"""WITH b AS (SELECT doc_id, {body} AS b, doc_id % 5 = 0 AND doc_id % 2 = 0 AS missing FROM documents), f AS (SELECT doc_id, {flags} || CASE WHEN missing THEN ['reference_required:百科类内容缺少参考资料:high'] ELSE [] END AS f FROM b)
+    SELECT doc_id, array_to_string(f, ',') AS flags, len(list_filter(f, lambda x: x LIKE '%:high'))::INT AS high_count, CASE WHEN len(list_filter(f, lambda x: x LIKE '%:high')) > 0 THEN 'blocked' WHEN len(f) > 0 THEN 'needs_review' ELSE 'passed' END AS status FROM f"""
+
+
+@query("x12_compliance_flags", compliance_sql())
+def _(s, d):
+    k = F.col("doc_id")
+    variants = table(s, d, "documents").select(
+        k, F.when(k % 5 == 0, "baike").otherwise("web").alias("target_type"), F.when(k % 3 > 0, F.col("text")).alias("body_markdown"), F.concat_ws(" ", "lang", F.coalesce("source", F.lit(""))).alias("markdown"),
+        F.lit(None).cast("map<string,string>").alias("infobox"), F.lit(None).cast("array<struct<title: string, content: string>>").alias("sections"), (k % 2).cast("int").alias("n_references"),
+    )
+    variants = variants.withColumn("markdown", F.when(k % 3 > 0, "").otherwise(F.col("markdown")))
+    out = TE.compliance(variants, FLAGS)
+    return out.select("doc_id", F.array_join(F.transform("flags", lambda f: F.concat_ws(":", f["type"], f["text"], f["severity"])), ",").alias("flags"), "high_count", "status")
+
+
+@query("f26_customer_terms")
+def _(s, d):
+    # replacement outside of code, URLs, quotes and paths, which SQL has no regions for; tests hold it against a loop
+    swaps = {"the": "THE", "then": "THEN", "on": "ON", "pache": "PACHE", "http": "HTTP"}
+    out = TE.replaced(table(s, d, "documents").select("doc_id", "text"), "text", swaps, "explain_first")
+    return out.select("doc_id", F.sha2("replaced", 256).alias("replaced_sha256"), F.length("replaced").alias("n_chars"))
+
+
 # --- reports and templates ---------------------------------------------------
 
 ABSOLUTE, TECHNICAL = ("idiot", "clown", "icense", "####", "100%"), ("http", "The", "ation", "heit")
