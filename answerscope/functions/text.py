@@ -228,3 +228,25 @@ def markdown_html(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?m)^# (.*)$", "<h1>$1</h1>")
     out = F.regexp_replace(out, r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>")
     return F.regexp_replace(out, r"(?m)^[-*] (.*)$", "<li>$1</li>")
+
+
+def hmac_sha256(message: Column, key: Column) -> Column:
+    """HMAC-SHA256 in lower-case hex: key and message as bytes (texts as UTF-8), block of 64 bytes, no Python.
+
+    Null if either is null."""
+    message, key = message.cast("binary"), key.cast("binary")
+    short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
+    block = F.rpad(F.hex(short), 128, "0")
+    number = lambda i: F.conv(F.substring(block, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+    def padded(pad: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(number(i).bitwiseXOR(F.lit(pad))), 2, "0"))
+        return F.unhex(F.array_join(each, ""))
+
+    inner = F.unhex(F.sha2(F.concat(padded(0x36), message), 256))
+    return F.when(key.isNotNull() & message.isNotNull(), F.sha2(F.concat(padded(0x5C), inner), 256))
+
+
+def webhook_signature(payload: Column, secret: Column, timestamp: Column) -> Column:
+    """Signature of a delivery: payload and time stamp under the target's secret."""
+    return F.concat(F.lit("sha256="), hmac_sha256(F.concat(payload.cast("binary"), timestamp.cast("string").cast("binary")), secret))

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerscope.functions import text as T
 from answerscope.operators import claims as C
 from answerscope.operators import evidence as E
 from answerscope.operators import industry as I
+from answerscope.operators import nested
 from answerscope.operators import quality as Q
 from answerscope.operators import terms as TE
 from answerscope.plans.registry import query, table
+from answerscope.sources import answer_source
 from answerscope.streaming import flows, folds
 
 # --- industries --------------------------------------------------------------
@@ -291,3 +294,46 @@ def platform_requests(s, d):
 @query("st3_limiter_cooldown")
 def _(s, d):
     return flows.drained(folds.limiter_states(platform_requests(s, d), most_per_minute=20))
+
+
+# --- nested JSON, signatures, the answer source ------------------------------
+
+
+@query(
+    "f24_masked_tree",
+    """SELECT event_id, '{"inner":{"apiKey":"***REDACTED***","type":"' || event_type || '"},"list":[{"k":' || json_extract_string(props, '$.k') || ',"user_token":"***REDACTED***"}],"password":"***REDACTED***"}' AS masked FROM events""",
+)
+def _(s, d):
+    inner = F.struct(F.lit("x").alias("apiKey"), F.col("event_type").alias("type"))
+    one = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.lit("t").alias("user_token"))
+    return table(s, d, "events").select("event_id", nested.masked(F.to_json(F.struct(F.lit(1).alias("password"), inner.alias("inner"), F.array(one).alias("list")))).alias("masked"))
+
+
+@query(
+    "c30_resolved_layers",
+    """SELECT c_custkey, '{"hallucination_thresholds":{"ratio":' || CASE WHEN c_custkey % 3 = 0 THEN '0.9' WHEN c_nationkey % 2 = 0 THEN '0.7' ELSE '0.5' END || ',"steps":' || CASE WHEN c_nationkey % 2 = 0 THEN '[3]' ELSE '[1,2]' END || '},"kpi_weights":{' ||
+      CASE WHEN c_custkey % 3 = 0 THEN '"own":1' WHEN c_nationkey % 2 = 0 THEN '"a":0.6,"b":0.5' ELSE '"a":0.5,"b":0.5' END || '}}' AS config FROM customer""",
+)
+def _(s, d):
+    default = F.lit('{"kpi_weights":{"a":0.5,"b":0.5},"hallucination_thresholds":{"ratio":0.5,"steps":[1,2]}}')
+    industry = F.when(F.col("c_nationkey") % 2 == 0, '{"kpi_weights":{"a":0.6},"hallucination_thresholds":{"ratio":0.7,"steps":[3]}}')
+    brand = F.when(F.col("c_custkey") % 3 == 0, '{"kpi_weights":{"own":1},"hallucination_thresholds":{"ratio":0.9}}')
+    return table(s, d, "customer").select("c_custkey", nested.resolved(default, industry, brand).alias("config"))
+
+
+# HMAC has no SQL here; tests hold it against published vectors and Python's own
+@query("f20_signatures")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", T.webhook_signature(F.col("html"), F.concat(F.lit("secret-"), "page_id"), F.col("page_id")).alias("signature"))
+
+
+@query(
+    "s3_answer_source",
+    """SELECT n_name AS question, p AS platform, true AS asked, '[MOCK ' || p || '] ' || n_nationkey AS answer_text FROM nation, (SELECT unnest(['a', 'b', 'c']) AS p)""",
+)
+def _(s, d):
+    answer_source.register(s)
+    asked = table(s, d, "nation")
+    n = asked.agg(F.max("n_nationkey")).first()[0] + 1
+    answers = s.read.format("answers").options(platforms="a,b,c,d", questions=n, mode="success").load().where("platform <> 'd' and platform in ('a', 'b', 'c')")
+    return asked.join(answers, asked["n_nationkey"] == answers["question_no"]).select(F.col("n_name").alias("question"), "platform", F.col("status").isNotNull().alias("asked"), "answer_text")
