@@ -1,10 +1,14 @@
-"""Queries over state that times out, on streams of the events table."""
+"""Queries over state: timers on streams of the events table, crash-safe rewrites, versioned records."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from answerscope.plans.registry import query
+from answerscope.operators import versions
+from answerscope.plans.registry import query, table
+from answerscope.sources import tables
+from answerscope.sources.scratch import scratch_path
 from answerscope.streaming import flows, timed
 
 
@@ -59,3 +63,69 @@ def _(s, d):
     arrived = events(s, d).select("id", F.expr("id div 2").alias("event"), F.col("key").cast("string").alias("token"), issued.alias("issued"), own.alias("sent"), "time")
     accepted, rejected = timed.callbacks(arrived)
     return accepted.union(rejected)
+
+
+# --- rewrites and versioned records ------------------------------------------
+
+
+def held(s, d, name, by, columns, segments=4):
+    """A table of the driver as a versioned one."""
+    return tables.VersionedTable(s, scratch_path(s, name)).create(table(s, d, name).select(*columns), segments=segments, by=by)
+
+
+@query("k2_update_rewrite", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1997-01-01' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(s, d):
+    orders = held(s, d, "orders", "o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderdate"])
+    tables.rewrite(orders, "expire", F.expr("o_orderstatus = 'O' and o_orderdate < date '1997-01-01'"), keep=F.struct(F.lit("X").alias("o_orderstatus")))
+    return orders.read().select("o_orderkey", "o_orderstatus")
+
+
+@query("k3_retention_rewrite", "SELECT event_id FROM events WHERE NOT (event_type = 'view' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 10 DAY OR event_type = 'click' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 20 DAY)")
+def _(s, d):
+    events_ = held(s, d, "events", "event_id", ["event_id", "event_type", "ts"])
+    tables.rewrite(events_, "retention", tables.retained({"view": 10, "click": 20}, "event_type", "ts", F.expr("timestamp_ntz '2024-01-31'")))
+    return events_.read().select("event_id")
+
+
+@query(
+    "k4_cascade_rewrite",
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    SELECT 'customer' AS name, (SELECT count(*) FROM c) AS deleted, (SELECT count(*) FROM customer) - (SELECT count(*) FROM c) AS rest
+    UNION ALL SELECT 'orders', (SELECT count(*) FROM o), (SELECT count(*) FROM orders) - (SELECT count(*) FROM o)
+    UNION ALL SELECT 'lineitem', count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM o)), count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM o)) FROM lineitem""",
+)
+def _(s, d):
+    own = {"customer": ("c_custkey", ["c_custkey", "c_nationkey"]), "orders": ("o_orderkey", ["o_orderkey", "o_custkey"]), "lineitem": ("l_orderkey", ["l_orderkey", "l_linenumber"])}
+    all_ = {n: held(s, d, n, by, columns) for n, (by, columns) in own.items()}
+    parents = {"orders": ("customer", "o_custkey", "c_custkey"), "lineitem": ("orders", "l_orderkey", "o_orderkey")}
+    receipt = tables.cascade(all_, parents, all_["customer"].read().where("c_nationkey = 3"), "customer", "c_custkey", "request")
+    out = [all_[n].read().agg(F.lit(n).alias("name"), F.lit(k).cast("long").alias("deleted"), F.count("*").alias("rest")) for n, k in receipt["deleted_counts"].items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("k10_insert_once", "SELECT p_partkey, p_brand FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_brand || '+' FROM part WHERE p_partkey % 2 = 1")
+def _(s, d):
+    part = table(s, d, "part").select("p_partkey", "p_brand")
+    half = tables.VersionedTable(s, scratch_path(s, "part")).create(part.where("p_partkey % 2 = 0"))
+    new = part.withColumn("p_brand", F.concat("p_brand", F.lit("+")))
+    for _ in range(2):  # the repeated job adds nothing
+        tables.insert_once(half, new, ["p_partkey"], "job")
+    return half.read()
+
+
+@query(
+    "c36_record_history",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, lag(l_linestatus) OVER w AS before, lag(l_returnflag) OVER w AS flag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+    v AS (SELECT *, before IS NULL OR before <> l_linestatus OR flag <> l_returnflag AS made FROM l)
+    SELECT l_orderkey::VARCHAR AS record, count(*) FILTER (made) AS versions, count(*) FILTER (NOT made) AS unchanged, arg_max(l_linestatus, l_linenumber) AS mode FROM v GROUP BY 1""",
+)
+def _(s, d):
+    # each line of an order asks for the order's ship mode and flag
+    first = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) == 1
+    asked = table(s, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("record"), F.col("l_linenumber").cast("long").alias("seq"), F.when(first, "create").otherwise("update").alias("kind"), F.lit(None).cast("int").alias("expected"),
+        F.create_map(F.lit("mode"), "l_linestatus", F.lit("flag"), "l_returnflag").alias("fields"), F.lit(None).cast("int").alias("target"), F.lit("x").alias("by"),
+    )
+    done = versions.apply(s.createDataFrame([], versions.HISTORY), asked, ["mode", "flag"])
+    last = F.max_by(F.col("fields")["mode"], F.when(F.col("outcome") == "done", F.col("version")))
+    return done.groupBy("record").agg(F.count_if(F.col("outcome") == "done").alias("versions"), F.count_if(F.col("outcome") == "unchanged").alias("unchanged"), last.alias("mode"))
