@@ -115,17 +115,18 @@ def _(s, d):
 
 @query(
     "c36_record_history",
-    """WITH l AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, lag(l_linestatus) OVER w AS before, lag(l_returnflag) OVER w AS flag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, lag(l_linestatus) OVER w AS before, lag(l_returnflag) OVER w AS flag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus)),
     v AS (SELECT *, before IS NULL OR before <> l_linestatus OR flag <> l_returnflag AS made FROM l)
-    SELECT l_orderkey::VARCHAR AS record, count(*) FILTER (made) AS versions, count(*) FILTER (NOT made) AS unchanged, arg_max(l_linestatus, l_linenumber) AS mode FROM v GROUP BY 1""",
+    SELECT l_orderkey::VARCHAR AS record, count(*) FILTER (made) AS versions, count(*) FILTER (NOT made) AS unchanged, max_by(l_linestatus, {'a': l_linenumber, 'b': l_returnflag, 'c': l_linestatus}) AS mode FROM v GROUP BY 1""",
 )
 def _(s, d):
     # each line of an order asks for the order's ship mode and flag
-    first = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) == 1
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus"))
+    first = place == 1
     asked = table(s, d, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("record"), F.col("l_linenumber").cast("long").alias("seq"), F.when(first, "create").otherwise("update").alias("kind"), F.lit(None).cast("int").alias("expected"),
+        F.col("l_orderkey").cast("string").alias("record"), place.cast("long").alias("seq"), F.when(first, "create").otherwise("update").alias("kind"), F.lit(None).cast("int").alias("expected"),
         F.create_map(F.lit("mode"), "l_linestatus", F.lit("flag"), "l_returnflag").alias("fields"), F.lit(None).cast("int").alias("target"), F.lit("x").alias("by"),
     )
     done = versions.apply(s.createDataFrame([], versions.HISTORY), asked, ["mode", "flag"])
-    last = F.max_by(F.col("fields")["mode"], F.when(F.col("outcome") == "done", F.col("version")))
+    last = F.max_by(F.col("fields")["mode"], F.col("version"))
     return done.groupBy("record").agg(F.count_if(F.col("outcome") == "done").alias("versions"), F.count_if(F.col("outcome") == "unchanged").alias("unchanged"), last.alias("mode"))
