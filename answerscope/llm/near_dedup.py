@@ -44,6 +44,8 @@ from answerscope.llm import words
 from answerscope.llm.common import whole_text, written
 from answerscope.llm.graph import components
 
+#: Posts of one value that meet its centre in one task, about.
+STAR = 20_000
 COORDINATES = 32
 MISSED = 1e-6
 #: Members of a list, about, that each member meets in one task; longer lists are dealt to more tasks.
@@ -119,10 +121,10 @@ def classes(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def texts_of(classes_: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(class, text): one text of each class in ``classes_``."""
+    """(class, text): one text of each class in ``classes_``. Equal texts are combined before they are dealt out."""
     needed = reps.select("class", "text_hash").join(classes_, "class", "left_semi")
     texts = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("text"))
-    texts = texts.join(needed.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
     return written(needed.join(texts, "text_hash").select("class", "text"), "near-texts")
 
 
@@ -225,26 +227,30 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = C
     prefix = found.where(F.size("shared") >= need).select(
         "class", F.aggregate("shared", F.lit(0.0), lambda acc, x: acc + F.log(x["n"].cast("double"))).alias("weight"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - need + 1)).alias("post")
     )
-    prefix = prefix.select(F.col("post.value").alias("value"), "class", "weight").join(reps.select("class", "n_shingles", "signature"), "class")
+    prefix = prefix.select(F.col("post.value").alias("value"), F.ceil(F.col("post.n") / STAR).alias("salts"), "class", "weight").join(reps.select("class", "n_shingles", "signature"), "class")
     posts = written(prefix, "near-posts")
 
     a = ["class", "n_shingles", "signature"]
-    centre = posts.groupBy("value").agg(F.max(F.struct("weight", *a)).alias("centre"), F.count("*").alias("n")).where("n > 1")
-    star = posts.join(centre.select("value", "centre"), "value").select(
+    centre = posts.groupBy("value", "salts").agg(F.max(F.struct("weight", *a)).alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # a value that many classes share meets its centre in as many tasks as it needs
+    centre = centre.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    star = posts.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts"))).join(centre.select("value", "salt", "centre"), ["value", "salt"]).select(
         F.col("centre.class").alias("a"), F.col("centre.n_shingles").alias("n_a"), F.col("centre.signature").alias("sign_a"), F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b")
     )
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     collided = F.size(F.filter(F.zip_with("sign_a", "sign_b", lambda x, y: x == y), lambda x: x)) >= need
     stars = star.where((F.col("a") != F.col("b")) & sized & collided).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = written(stars, "near-stars")
-    sides = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    links = written(confirmed(stars, texts_of(sides, docs, reps), size, percent), "near-links")
+    # one reading of the documents for both confirmations: the classes that are posted anywhere with another
+    met = posts.join(centre.where("salt = 0").select("value"), "value", "left_semi").select("class").distinct()
+    texts = texts_of(met, docs, reps)
+    links = written(confirmed(stars, texts, size, percent), "near-links")
     labels = components(links).withColumnRenamed("node", "class")
 
     labelled = written(posts.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-labelled")
     mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     open_ = written(labelled.join(mixed.select("value"), "value", "left_semi"), "near-open")
-    texts = texts_of(open_.select("class").distinct(), docs, reps)
+    texts = texts.join(open_.select("class").distinct(), "class", "left_semi")
     # two sets can't share more than what either shares with any other
     once = open_.select("class", "label", "n_shingles", "signature").dropDuplicates(["class"])
     once = once.join(lonely(texts, size), "class", "left").withColumn("u", F.col("n_shingles") - F.coalesce("n_lonely", F.lit(0))).where(F.col("u") * 100 >= F.col("n_shingles") * percent)

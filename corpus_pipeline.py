@@ -8,7 +8,7 @@ brute-force versions of its stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerscope.llm import line_dedup, mixing, near_dedup, packing, toxicity
@@ -19,16 +19,26 @@ from answerscope.llm.queries import word_tokenizer
 TOXIC = 0.5
 
 
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """What an operator needs, and all else in a struct, so that no name of the caller's clashes with its own."""
+    return docs.select(*needed, "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def together(docs: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The caller's columns again, with those that a stage changes."""
+    return docs.select(*[changed.get(c, F.col("text") if c == "text" else F.col("rest").getField(c)).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the model learns from labelled rows outside the held-out fold."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return together(toxicity.score(apart(docs), model).where(F.col("score") < TOXIC), docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their cross-site lines; n_chars follows the text."""
-    cut = line_dedup.remove_boilerplate(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = line_dedup.remove_boilerplate(apart(docs, "source"))
+    return together(cut, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by raked weights of source, language and topic."""
-    return mixing.weigh(docs).where("sampled").select(*docs.columns)
+    weighed = mixing.weigh(apart(docs, "doc_id", "source", "lang"), columns=["doc_id", "text", "rest"])
+    return together(weighed.where("sampled"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

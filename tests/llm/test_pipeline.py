@@ -67,9 +67,10 @@ def test_run_packs_what_the_stages_keep(spark, data):
 def test_stages_take_odd_and_empty_tables(spark, tmp_path, full):
     """Nulls in any column, empty and very long texts and words, repeated rows, columns of clashing names; and no rows at all."""
     extra = "row int, key int, n int, _n string, rank int, hash int, text_hash int, class2 int"
+    own = ["_source", "_lang", "score", "margin", "n_lines", "n_removed", "n_tokens", "topic", "weight", "probability", "sampled", "rest", "doc", "salt", "salts"]
     texts = [None, "", " \n ", "one", prose(1, 60), prose(1, 60), prose(2, 30_000), "x" * 300_000, "é" * 3000]
     rows = [(i, t, "en", "s", len(t or ""), 1, "c", 2, "q", 1, 2, 3, "4", 5, 6, 7, 8) for i, t in enumerate(texts)] + [(3, "one", None, None, None, *[None] * 12), (None, None, *[None] * 15)]
-    docs = spark.createDataFrame(rows if full else [], f"{SCHEMA}, {extra}")
+    docs = spark.createDataFrame(rows if full else [], f"{SCHEMA}, {extra}").withColumns({c: F.lit(f"my {c}") for c in own})
     spark.createDataFrame([(4, 1, 0), (7, 0, 1), (6, None, None)] if full else [], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
@@ -77,5 +78,6 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path, full):
         after = spark.read.schema(out.schema).parquet(f"{tmp_path}/{i}")
         if name != "packing":
             assert after.columns == docs.columns and after.count() <= docs.count()
+            assert all(r[c] == f"my {c}" for r in after.collect() for c in own)
             docs = after
     assert (after.count() > 0) == full
