@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from answerscope.operators import versions
 from answerscope.plans.registry import query, table
-from answerscope.sources import tables
+from answerscope.sources import sinks, tables
 from answerscope.sources.scratch import scratch_path
-from answerscope.streaming import flows, timed
+from answerscope.streaming import flows, outbox, timed
 
 
 def events(s, d):
@@ -130,3 +130,22 @@ def _(s, d):
     done = versions.apply(s.createDataFrame([], versions.HISTORY), asked, ["mode", "flag"])
     last = F.max_by(F.col("fields")["mode"], F.col("version"))
     return done.groupBy("record").agg(F.count_if(F.col("outcome") == "done").alias("versions"), F.count_if(F.col("outcome") == "unchanged").alias("unchanged"), last.alias("mode"))
+
+
+@query("k5_zipped_export", "SELECT o_orderstatus AS tenant, count(*) AS n_rows, ceil(count(*) / 5000.0)::BIGINT AS n_archives FROM orders GROUP BY 1")
+def _(s, d):
+    out = sinks.zipped(table(s, d, "orders"), "o_orderstatus", [F.col("o_orderkey")], 5000)
+    return out.groupBy("tenant").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_archives"))
+
+
+@query("k9_delivery_log", "SELECT 'delivered' AS status, count(*) FILTER (c_custkey % 7 <> 0 AND c_nationkey <> 3) AS n FROM customer UNION ALL SELECT 'held', count(*) FILTER (c_nationkey = 3) FROM customer UNION ALL SELECT 'failed', count(*) FILTER (c_custkey % 7 = 0 AND c_nationkey <> 3) FROM customer")
+def _(s, d):
+    # every customer is a request to its nation; one nation is paused, every seventh request is refused
+    c = F.col("c_custkey")
+    stream = flows.read(s, f"{d}/customer.parquet").select(
+        c.cast("string").alias("request"), F.col("c_nationkey").cast("string").alias("target"), F.concat(F.lit("https://x.example.com/"), c % 7).alias("url"), F.col("c_name").alias("payload"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at")
+    )
+    paused = s.createDataFrame([("3",)], "target string")
+    send = lambda url, payload, key: 400 if url.endswith("/0") else 200
+    log = outbox.deliver(stream, scratch_path(s, "outbox"), scratch_path(s, "outbox-state"), send, paused)
+    return outbox.latest(log).groupBy("status").agg(F.count("*").alias("n"))
