@@ -167,13 +167,13 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", F.md5(stable.cast("binary")).alias("digest"), (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("complete"))
 
 
-@query("f52_config_checks", "SELECT name, ok FROM (VALUES ('weights in range', true), ('levels known', true)) v(name, ok)")
+@query("f52_config_checks", "SELECT l_orderkey, sum(l_quantity) BETWEEN 99.9 AND 100.1 AS sums_up, min(l_quantity) > 0 AND max(l_quantity) <= 100 AS in_range, bool_and(l_returnflag IN ('A', 'N')) AS levels_known FROM lineitem GROUP BY 1")
 def _(s, d):
-    from answerscope.operators.kpi import FIELD_LEVELS, HEALTH_WEIGHTS
-
-    weights = s.createDataFrame(list(HEALTH_WEIGHTS.items()), "kpi string, weight double").agg(F.lit("weights in range").alias("name"), F.bool_and((F.col("weight") > 0) & (F.col("weight") <= 1)).alias("ok"))
-    levels = s.createDataFrame(list(FIELD_LEVELS.items()), "field string, level string").agg(F.lit("levels known").alias("name"), F.bool_and(F.col("level").isin("P0", "P1", "P2")).alias("ok"))
-    return weights.unionByName(levels)
+    # an order is a configuration: its lines' hundredths are the weights, their flags the levels
+    weight = F.col("l_quantity") / 100
+    in_range, known = F.bool_and((weight > 0) & (weight <= 1)), F.bool_and(F.col("l_returnflag").isin("A", "N"))
+    total = F.sum("l_quantity") / 100
+    return table(s, d, "lineitem").groupBy("l_orderkey").agg(((total >= 0.999) & (total <= 1.001)).alias("sums_up"), in_range.alias("in_range"), known.alias("levels_known"))
 
 
 @query("kpi13_snapshot", "SELECT source, count(*) AS sample_size, round(count(*) FILTER (contains(text, 'the')) / count(*), 4) AS sov, round(count(*) FILTER (contains(text, 'token')) / count(*), 4) AS differentiation FROM documents GROUP BY 1")
@@ -201,10 +201,13 @@ def _(s, d):
     return C.adjust_speculation(verdicts(s, d)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("c9_predicates", "SELECT f AS field, p AS predicate FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in X.PREDICATES.items()) + ") v(f, p)")
+FIELDS = [*X.PREDICATES, "unheard_of"]
+
+
+@query("c9_predicates", f"SELECT s_suppkey, CASE s_suppkey % {len(FIELDS)} " + " ".join(f"WHEN {i} THEN '{X.PREDICATES[f]}'" for i, f in enumerate(FIELDS[:-1])) + " ELSE 'other' END AS predicate FROM supplier")
 def _(s, d):
-    fields = s.createDataFrame([(f,) for f in X.PREDICATES], "field string")
-    return fields.select("field", C.lookup(F.col("field"), X.PREDICATES, "other").alias("predicate"))
+    field = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.col("s_suppkey") % len(FIELDS) + 1).cast("int"))
+    return table(s, d, "supplier").select("s_suppkey", C.lookup(field, X.PREDICATES, "other").alias("predicate"))
 
 
 @query("c18_search_first", "SELECT user_id, coalesce(arg_min(value, event_id) FILTER (event_type = 'view'), arg_min(value, event_id)) AS value FROM events GROUP BY 1")

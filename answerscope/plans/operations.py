@@ -37,9 +37,12 @@ def _(s, d):
     return readers.search_results(landed).select("normal_url", "provider", F.col("rank").cast("long").alias("rank"))
 
 
-@query("s6_kpi_mapping", "SELECT kpi, count(*) AS n FROM (VALUES ('sov', 'a'), ('sov', 'b'), ('accuracy', 'a')) v(kpi, q) GROUP BY 1")
+@query("s6_kpi_mapping", "SELECT kpi, mode, count(*) AS n FROM documents JOIN (VALUES ('sov', 'en', 'allowed'), ('sov', 'fr', 'conditional'), ('accuracy', 'en', 'allowed'), ('accuracy', 'de', 'excluded')) v(kpi, q, mode) ON lang = q GROUP BY 1, 2")
 def _(s, d):
-    return readers.kpi_mapping(s, {"sov": {"allowed": ["a"], "conditional": ["b"]}, "accuracy": {"allowed": ["a"]}}).groupBy("kpi").agg(F.count("*").alias("n"))
+    # documents are answers, their languages the question types: how many each KPI may use
+    mapping = readers.kpi_mapping(s, {"sov": {"allowed": ["en"], "conditional": ["fr"]}, "accuracy": {"allowed": ["en"], "excluded": ["de"]}})
+    met = table(s, d, "documents").join(F.broadcast(mapping), F.col("lang") == F.col("question_type"))
+    return met.groupBy("kpi", "mode").agg(F.count("*").alias("n"))
 
 
 @query("s8_field_levels", "SELECT o_orderpriority, coalesce(level, 'P2') AS level, count(*) AS n FROM orders LEFT JOIN (VALUES ('1-URGENT', 'P0'), ('2-HIGH', 'P1')) v(p, level) ON o_orderpriority = p GROUP BY ALL")
