@@ -10,7 +10,7 @@ requests are one group; its size is a record's edits, not the table's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,14 +62,27 @@ def fold(record: str, past: list[dict], requests: list[dict], versioned: Sequenc
 def apply(history: DataFrame, requests: DataFrame, versioned: Sequence[str]) -> DataFrame:
     """One row per request: a new row of history (``outcome`` done), or a refusal; ``current`` is the version after it."""
     names = [c.strip().split(" ")[0] for c in OUT.split(", ")]
-
-    def step(key, past: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = fold(key[0], past.to_dict("records"), asked.to_dict("records"), versioned) if len(asked) else []
-        return pd.DataFrame(rows, columns=names).astype({"version": "Int32", "rollback_from": "Int32", "current": "Int32", "seq": "Int64"})
-
+    entries = F.map_entries("fields").alias("fields")  # pairs read alike in every frame
+    asked = requests.groupBy("record").agg(F.collect_list(F.struct("seq", "kind", "expected", entries, "target", "by")).alias("asked"))
     # of the past only records that are asked about are needed
-    past = history.join(requests.select("record").distinct(), "record", "left_semi")
-    return past.groupBy("record").cogroup(requests.groupBy("record")).applyInPandas(step, OUT)
+    held = history.join(requests.select("record").distinct(), "record", "left_semi")
+    past = held.groupBy("record").agg(F.collect_list(F.struct("version", entries)).alias("past"))
+
+    def pairs(rows) -> list[dict]:
+        """Structs of an array as plain dictionaries, their fields as one."""
+        out = []
+        for row in rows if rows is not None else ():
+            row = row.asDict() if hasattr(row, "asDict") else dict(row)
+            row["fields"] = {e["key"]: e["value"] for e in row["fields"]} if row["fields"] is not None else {}
+            out.append(row)
+        return out
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [r for record, a, p in zip(part["record"], part["asked"], part["past"], strict=True) for r in fold(record, pairs(p), pairs(a), versioned)]
+            yield pd.DataFrame(rows, columns=names).astype({"version": "Int32", "rollback_from": "Int32", "current": "Int32", "seq": "Int64"})
+
+    return asked.join(past, "record", "left").select("record", "asked", "past").mapInPandas(step, OUT)
 
 
 def appended(outcome: DataFrame) -> DataFrame:
