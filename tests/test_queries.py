@@ -1,7 +1,7 @@
 """Every registered query of the reference's operators, against its SQL where there is one."""
 
 import pytest
-from answerscope.plans import facts, kpis, lifecycle, operations, registry, relational, rules, scalars, series, states  # noqa: F401
+from answerscope.plans import assurance, facts, kpis, lifecycle, operations, registry, relational, rules, scalars, series, states  # noqa: F401
 from oracle import connect, same
 
 
