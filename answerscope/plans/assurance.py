@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerscope.operators import benchmark as B
 from answerscope.operators import report_gate as G
+from answerscope.operators import rivals as V
 from answerscope.operators import sufficiency as S
 from answerscope.plans.registry import query, table
 
@@ -125,3 +127,86 @@ def _(s, d):
     runs = table(s, d, "supplier").select(k.alias("run"), templates.alias("templates"), coverage.alias("coverage"), platforms.alias("platform_coverage"), denominators.alias("denominators"), limits.alias("limits"))
     summaries = G.quality_summary(runs.where(F.col("run") % 23 > 0), claims(s, d))
     return G.publishable(runs, summaries).select("run", F.array_join("blocks", ",").alias("blocks"), F.array_join("warnings", ",").alias("warnings"), "publishable")
+
+
+# --- a brand and its rivals --------------------------------------------------
+# Customers are brands, their orders the snapshots (of square roots, as no two sums of them tie at a limit); every customer has three competitor sets, some of them active.
+
+SNAPSHOTS = """(SELECT o_custkey AS entity, o_orderdate AS ts, sqrt(o_totalprice / 500000) AS sov, sqrt(o_orderkey % 97 / 97.0::DOUBLE) AS first_rec_rate, CASE WHEN o_orderkey % 3 > 0 THEN sqrt(o_orderkey % 31 / 31.0::DOUBLE) END AS accuracy_rate, o_orderkey % 50 AS sample_size,
+      CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS platform, CASE WHEN o_orderkey % 5 = 0 THEN 'city' END AS dimension FROM orders)"""
+LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, sov DESC, first_rec_rate DESC, accuracy_rate DESC NULLS LAST, sample_size DESC) AS place FROM {rows}) WHERE place = 1)"
+SETS = """(SELECT c_custkey AS brand, v, CASE WHEN c_custkey % 9 = 0 THEN [] ELSE list_concat(range(c_custkey + v, c_custkey + v + c_custkey % 9), [c_custkey + v, -1]) END AS competitors FROM customer, range(1, 4) r(v) WHERE c_custkey % 11 > 0 AND (c_custkey + v) % 4 > 0
+      QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY v DESC) = 1)"""
+THREE = ("sov", "first_rec_rate", "accuracy_rate")
+NOW, OWN_DAYS, DAYS = "2001-06-01", 300, 500
+
+
+def snapshots(s, d):
+    key = F.col("o_orderkey")
+    return table(s, d, "orders").select(
+        F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("ts"), F.sqrt(F.col("o_totalprice") / 500000).alias("sov"), F.sqrt(key % 97 / 97.0).alias("first_rec_rate"), F.when(key % 3 > 0, F.sqrt(key % 31 / 31.0)).alias("accuracy_rate"),
+        (key % 50).alias("sample_size"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("platform"), F.when(key % 5 == 0, "city").alias("dimension"),
+    )
+
+
+def competitor_sets(s, d):
+    c, v = F.col("c_custkey"), F.col("v").cast("bigint")
+    sets = table(s, d, "customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("v"))
+    competitors = F.when(c % 9 > 0, F.concat(F.sequence(c + v, c + v + F.greatest(c % 9, F.lit(1)) - 1), F.array(c + v, F.lit(-1).cast("bigint"))))
+    return sets.select(c.alias("brand"), competitors.alias("competitors"), ((c % 11 > 0) & ((c + v) % 4 > 0)).alias("active"), v.alias("updated_at"))
+
+
+@query(
+    "kpi12_active_set_matrix",
+    f"""WITH l AS {LATEST.format(rows=f"(SELECT * FROM {SNAPSHOTS} WHERE platform IS NULL AND dimension IS NULL)")}, m AS (SELECT DISTINCT brand, unnest(list_concat([brand], competitors)) AS member FROM {SETS})
+    SELECT brand, member, brand = member AS is_own, ts, round(sov, 6) AS sov, round(first_rec_rate, 6) AS first_rec_rate, round(accuracy_rate, 6) AS accuracy_rate, sample_size FROM m JOIN l ON entity = member""",
+)
+def _(s, d):
+    m = V.competitor_matrix(snapshots(s, d), competitor_sets(s, d), THREE)
+    return m.withColumns({k: F.round(k, 6) for k in THREE})
+
+
+FRESH = f"(SELECT * FROM {SNAPSHOTS} WHERE ts <= TIMESTAMP '{NOW}' AND ts >= TIMESTAMP '{NOW}' - INTERVAL {{days}} DAY)"
+GAPS = f"""WITH own AS {LATEST.format(rows=FRESH.format(days=OWN_DAYS))}, theirs AS {LATEST.format(rows=FRESH.format(days=DAYS))}, sets AS {SETS},
+    m AS (SELECT brand, count(*) AS with_data, avg(sov) AS sov, avg(first_rec_rate) AS first_rec_rate, avg(accuracy_rate) AS accuracy_rate FROM (SELECT brand, unnest(competitors) AS member FROM sets) JOIN theirs ON entity = member GROUP BY 1),
+    j AS (SELECT coalesce(own.entity, sets.brand) AS brand, coalesce(len(competitors), 0) AS total_competitors, coalesce(with_data, 0) AS with_data, own.sov AS v1, own.first_rec_rate AS v2, own.accuracy_rate AS v3, m.sov AS r1, m.first_rec_rate AS r2, m.accuracy_rate AS r3
+      FROM own FULL JOIN sets ON own.entity = sets.brand LEFT JOIN m ON m.brand = coalesce(own.entity, sets.brand)),
+    k AS (SELECT brand, total_competitors, with_data, 'sov' AS kpi, v1 AS value, r1 AS rivals FROM j UNION ALL SELECT brand, total_competitors, with_data, 'first_rec_rate', v2, r2 FROM j UNION ALL SELECT brand, total_competitors, with_data, 'accuracy_rate', v3, r3 FROM j),
+    b AS (SELECT kpi, quantile_cont(value, 0.5) AS p50 FROM k WHERE kpi <> 'accuracy_rate' GROUP BY 1),
+    g AS (SELECT k.*, p50, coalesce(value - rivals, value - p50, 0) AS gap, CASE kpi WHEN 'sov' THEN '{V.LABELS["sov"]}' WHEN 'first_rec_rate' THEN '{V.LABELS["first_rec_rate"]}' ELSE '{V.LABELS["accuracy_rate"]}' END AS label FROM k LEFT JOIN b USING (kpi))
+    SELECT brand, kpi, round(value, 6) AS value, round(rivals, 6) AS rivals, total_competitors, with_data, round(p50, 6) AS p50, round(gap, 6) AS gap, CASE WHEN abs(gap) >= 0.2 THEN 'large' WHEN abs(gap) >= 0.1 THEN 'moderate' WHEN abs(gap) >= 0.05 THEN 'small' ELSE 'none' END AS significance,
+      CASE WHEN abs(gap) < 0.01 THEN '{V.NO_GAP}' ELSE '品牌在「' || label || '」上' || CASE WHEN gap > 0 THEN '领先' ELSE '落后' END || '于竞品均值' END AS finding,
+      CASE WHEN gap <= -0.01 THEN '在「' || label || '」方面可能存在改进空间' ELSE '建议关注「' || label || '」相关指标' END AS drivers, CASE WHEN gap >= 0.01 THEN '在「' || label || '」方面品牌表现较好' ELSE '' END AS counters,
+      CASE WHEN total_competitors = 0 OR with_data < 2 THEN 'low' WHEN with_data >= 5 AND kpi <> 'accuracy_rate' THEN 'high' ELSE 'medium' END AS confidence,
+      CASE WHEN total_competitors = 0 THEN '无竞品数据' WHEN with_data < 2 THEN '竞品数据不足' WHEN with_data >= 5 AND kpi <> 'accuracy_rate' THEN '数据充分，基准可靠' ELSE '竞品数据有限，结论仅供参考' END AS reason,
+      '该判断基于当前采集样本，' || CASE WHEN abs(gap) < 0.05 THEN '差距较小，可能属于正常波动范围，' ELSE '' END || '仍需通过后续内容发布和复测验证' AS caveat FROM g"""
+
+
+@query("b6_gap_reasons", GAPS)
+def _(s, d):
+    compared = V.compare(snapshots(s, d), competitor_sets(s, d), THREE, F.expr(f"timestamp_ntz '{NOW}'"), OWN_DAYS, DAYS)
+    values = compared.where("kpi <> 'accuracy_rate'").select(F.lit("all").alias("group"), "kpi", "value")
+    found = V.gap_attribution(compared, B.industry_benchmark(values, digits=12))
+    rounded = {c: F.round(c, 6) for c in ("value", "rivals", "p50", "gap")}
+    return found.withColumns(rounded | {c: F.array_join(c, "; ") for c in ("drivers", "counters")})
+
+
+CARDS = ", ".join(f"({i}, '{k}', '{v}', '{e}')" for i, (e, (k, v)) in enumerate(zip(("view", "click", "purchase", "signup", "error", "", "", "", "", ""), V.LABELS.items(), strict=True)))
+
+
+@query(
+    "kpi13_cards",
+    f"""WITH r AS (SELECT user_id AS brand, event_type, avg(value) AS value, count(*) FILTER (value > 50) AS numerator, count(*) AS denominator, count(DISTINCT hour(ts)) AS sample_size, CASE WHEN count(*) >= 15 THEN 'high' WHEN count(*) >= 10 THEN 'medium' END AS confidence FROM events GROUP BY ALL)
+    SELECT u.brand, place, key, name, round(coalesce(value, 0), 6) AS value, coalesce(numerator, 0) AS numerator, coalesce(denominator, 0) AS denominator, coalesce(sample_size, 0) AS sample_size, coalesce(confidence, 'low') AS confidence
+    FROM (SELECT DISTINCT user_id AS brand FROM events) u CROSS JOIN (VALUES {CARDS}) c(place, key, name, event_type) LEFT JOIN r ON r.brand = u.brand AND r.event_type = c.event_type""",
+)
+def _(s, d):
+    kpi = F.col("event_type")
+    for event, key in zip(("view", "click", "purchase", "signup", "error"), V.LABELS, strict=False):
+        kpi = F.when(F.col("event_type") == event, key).otherwise(kpi)
+    n = F.count("*")
+    results = table(s, d, "events").groupBy(F.col("user_id").alias("brand"), kpi.alias("kpi")).agg(
+        F.avg("value").alias("value"), F.count_if(F.col("value") > 50).alias("numerator"), n.alias("denominator"), F.countDistinct(F.hour("ts")).alias("sample_size"), F.when(n >= 15, "high").when(n >= 10, "medium").alias("confidence")
+    )
+    rows = V.kpi_cards(results).select("brand", F.posexplode("cards").alias("place", "c")).select("brand", "place", "c.*")
+    return rows.withColumn("value", F.round("value", 6))
