@@ -79,12 +79,16 @@ def small(some: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(some) if some.count() <= most else some
 
 
-def texts_with(docs: DataFrame, lost: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row, held, total): the cross-site lines of each distinct text in order, with their letters, and the letters of the text; ``lost`` (row, bad)."""
-    met = docs.select(F.xxhash64("text").alias("row"), "text").join(small(lost, BROADCAST // 10), "row")
-    each = F.transform(F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars), lambda x: F.struct(line_hash(x).alias("line"), F.length(x).alias("chars")))
-    held = F.filter(each, lambda h: F.array_contains("bad", h["line"]))
-    return met.select("row", held.alias("held"), letters(split_lines()).alias("total")).dropDuplicates(["row"])
+def texts_with(docs: DataFrame, bad: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(row, held, total): of each distinct text with cross-site lines (``bad``), these in order, with their letters, and the letters of the text.
+
+    Occurrences meet ``bad`` before they are dealt, so that neither texts nor other lines move, and equal texts are combined on the way.
+    """
+    long = F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars)
+    each = F.transform(long, lambda x, i: F.struct(i.alias("at"), line_hash(x).alias("line"), F.length(x).alias("chars")))
+    met = docs.select(F.xxhash64("text").alias("row"), letters(split_lines()).alias("total"), F.explode(each).alias("e")).select("row", "total", "e.*").join(bad, "line")
+    held = met.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "line", "chars"))).alias("held"), F.max("total").alias("total"))
+    return held.select("row", F.transform("held", lambda h: F.struct(h["line"].alias("line"), h["chars"].alias("chars"))).alias("held"), "total")
 
 
 def copied_lines(texts: DataFrame, sites: int = SITES, most_share: float = MOST_SHARE) -> DataFrame:
@@ -108,8 +112,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = L
     every = written(lines(docs, least_chars), "lines")
     bad = small(written(spread(every, sites).where("boilerplate").select("line"), "lines-boilerplate"))
     # equal texts lose equal lines, so that texts are matched by their hash
-    lost = written(every.select("row", "line").distinct().join(bad, "line").groupBy("row").agg(F.collect_list("line").alias("bad")), "lines-of-texts")
-    texts = written(texts_with(docs, lost, least_chars), "lines-in-order")
+    texts = written(texts_with(docs, bad, least_chars), "lines-in-order")
+    lost = texts.select("row", F.array_distinct("held.line").alias("bad"))
     copied = small(written(copied_lines(texts, sites, most_share), "lines-copied"))
     stay = texts.select("row", F.explode(F.array_distinct("held.line")).alias("line")).join(copied, "line").groupBy("row").agg(F.collect_list("line").alias("stay"))
     copies = texts.join(stay, "row").where(letters(F.filter("held", lambda h: F.array_contains("stay", h["line"])), lambda h: h["chars"]) > most_share * F.col("total"))
