@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,31 +12,52 @@ from answerscope.sources.scratch import scratch_path
 
 # Failures that open a breaker and seconds until it is tried again.
 FAILURES, RESET_S = 5, 300
+#: Microseconds of a time past every event.
+END_US = 1 << 62
 
 
-def read(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
-    """A stream over a Parquet table with its own schema; a table that is one file is picked from its folder."""
+def read(spark: SparkSession, path: str, per_trigger: int | None = 100) -> DataFrame:
+    """A stream over a Parquet table with its own schema; a table that is one file is picked from its folder.
+
+    Without ``per_trigger`` all files that are there come in one batch, so that no row is late, whatever the order of the files."""
     table = spark.read.parquet(path)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", per_trigger)
+    stream = spark.readStream.schema(table.schema)
+    if per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", per_trigger)
     folder, _, name = path.rpartition("/")
     if any(f.endswith(f"/{name}") for f in table.inputFiles()[:1]):
         return stream.option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
     return stream.parquet(path)
 
 
-def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def ending(events: DataFrame, time: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """``events``, and a call that ends them: a row of nulls past every event, from a source of its own, whose time closes all that is open."""
+    spark = events.sparkSession
+    path, past = scratch_path(spark, "stream-end"), F.timestamp_micros(F.lit(END_US))
+    row = spark.range(1).select(*[(past if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    row.limit(0).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path)), lambda: row.write.mode("append").parquet(path)
+
+
+def drained(stream: DataFrame, keys: list[str] | None = None, end: Callable[[], None] | None = None) -> DataFrame:
     """Everything that is there now, run through the stream; each batch replaces its own files, so a retry repeats nothing.
 
     Without ``keys`` the stream appends finished rows. With them it writes only the rows that a batch changed, and the last
-    row of each key counts: neither state nor output is rewritten as a whole."""
+    row of each key counts: neither state nor output is rewritten as a whole. With ``end`` of ``ending``, the stream goes on
+    after its end, so that rows which the watermark still held back come as well."""
     spark = stream.sparkSession
     path, at = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
-    run.awaitTermination()
+    def run() -> None:
+        stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+    run()
+    if end is not None:
+        end()
+        run()
     rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
     if keys is None:
         return rows.select(*stream.columns)
@@ -60,9 +81,9 @@ def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour") ->
 
 
 def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """Activity of a key until it is silent for the gap."""
+    """Activity of a key until it is silent for the gap; Spark joins events that are just the gap apart, so its own is a microsecond less."""
     at = events.withColumn("at", F.col("ts").cast("timestamp"))
-    return at.withWatermark("at", "1 hour").groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return at.withWatermark("at", "1 hour").groupBy("user_id", F.session_window("at", f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def callbacks(events: DataFrame, tolerance_s: int = 300) -> DataFrame:

@@ -130,3 +130,28 @@ def test_updated_windows_keep_the_last_count(spark, tmp_path):
     assert sorted(r.n for r in got) == [1, 4, 4, 4, 4, 4, 4] and len({r.bucket for r in got}) == 7
     done = flows.drained(flows.sessions(df.drop("time"))).collect()
     assert [r.n for r in done] == [24]
+
+
+def test_sessions_count_those_still_open_and_files_in_any_order(spark, tmp_path):
+    """A table of more files than a batch takes, the newest first, whose last sessions no later event closes."""
+    import os
+
+    import duckdb
+    import pandas as pd
+    from answerscope.plans import registry
+    from oracle import rows
+
+    hour = 3600
+    times = [[100 * hour + i, 107 * hour + i] for i in range(101)] + [[i * hour for i in (1, 2, 9, 15, 95)]]
+    os.makedirs(f"{tmp_path}/events.parquet")
+    for i, part in enumerate(times):
+        path = f"{tmp_path}/events.parquet/{i:03d}.parquet"
+        own = pd.DataFrame({"event_id": [100 * i + k for k in range(len(part))], "user_id": [i % 3] * len(part), "ts": pd.to_datetime(part, unit="s").astype("datetime64[us]")})
+        own.to_parquet(path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = registry.QUERIES["st7_sessions"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE_SQL["st7_sessions"])
+    assert rows(["user_id", "start", "n"], got) == rows(want.columns, want.fetchall())
+    assert sum(r.n for r in got) == sum(map(len, times))
