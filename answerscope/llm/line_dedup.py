@@ -41,6 +41,8 @@ SITES, LEAST_CHARS, MARGIN, REGISTERS, MOST_SHARE = 10, 12, 0.25, 12, 0.5
 TOGETHER = 0.5
 #: Hashes of eight bytes, so a broadcast of a few megabytes at most.
 BROADCAST = 200_000
+#: A text that more documents hold is dealt in parts of about so many.
+HOT = 256
 
 
 def split_lines() -> Column:
@@ -52,10 +54,10 @@ def line_hash(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row, line, site): the distinct long lines of each text, by hash; row is the text's."""
+    """(line, site): the distinct long lines of each document, by hash."""
     long = F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars)
     hashes = F.array_distinct(F.transform(long, line_hash))
-    return docs.select(F.xxhash64("text").alias("row"), F.explode(hashes).alias("line"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("site"))
+    return docs.select(F.explode(hashes).alias("line"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("site"))
 
 
 def spread(every: DataFrame, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
@@ -79,12 +81,17 @@ def small(some: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(some) if some.count() <= most else some
 
 
-def texts_with(docs: DataFrame, lost: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row, held, total): the cross-site lines of each distinct text in order, with their letters, and the letters of the text; ``lost`` (row, bad)."""
-    met = docs.select(F.xxhash64("text").alias("row"), "text").join(small(lost, BROADCAST // 10), "row")
-    each = F.transform(F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars), lambda x: F.struct(line_hash(x).alias("line"), F.length(x).alias("chars")))
-    held = F.filter(each, lambda h: F.array_contains("bad", h["line"]))
-    return met.select("row", held.alias("held"), letters(split_lines()).alias("total")).dropDuplicates(["row"])
+def texts_with(docs: DataFrame, bad: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(row, held, total): the cross-site lines of each distinct text in order, with their letters, and the letters of the text; ``bad`` (line).
+
+    Occurrences meet ``bad`` where they are read, so that no text is dealt, and equal texts are combined on the way."""
+    long = F.filter(split_lines(), lambda x: F.length(F.trim(x)) >= least_chars)
+    each = F.transform(long, lambda x, i: F.struct(i.alias("at"), line_hash(x).alias("line"), F.length(x).alias("chars")))
+    # in a step of its own, so that a text is hashed and its letters are counted once, not for each line
+    whole = docs.select(F.xxhash64("text").alias("row"), letters(split_lines()).alias("total"), each.alias("each"))
+    met = whole.select("row", "total", F.explode_outer("each").alias("e")).select("row", "total", "e.*").join(bad, "line")
+    held = met.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "line", "chars"))).alias("held"), F.max("total").alias("total"))
+    return held.select("row", F.transform("held", lambda h: F.struct(h["line"].alias("line"), h["chars"].alias("chars"))).alias("held"), "total")
 
 
 def copied_lines(texts: DataFrame, sites: int = SITES, most_share: float = MOST_SHARE) -> DataFrame:
@@ -102,22 +109,33 @@ def copied_lines(texts: DataFrame, sites: int = SITES, most_share: float = MOST_
     return few.select("line").unionByName(unsure.select("line").join(linked, "line", "left_semi"))
 
 
+def with_lost(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """``rows`` (row, text and rest) with the lines that their text loses (``lost``, row and bad). This is the one time that texts are dealt, each to where its row's
+    hash says; a text of many documents goes to many tasks. ``lost`` is small beside the texts, which therefore need no sort."""
+    held = rows.groupBy("row").agg(F.ceil(F.count("*") / HOT).alias("parts")).where(F.col("parts") > 1)
+    hot = small(written(held, "lines-hot"))
+    # by the other columns, so that a repeated task deals as the first did
+    rest = F.xxhash64(F.col("rest").cast("string"))
+    rows = rows.join(hot, "row", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(rest, "parts")))
+    lost = lost.join(hot, "row", "left").select("row", "bad", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
+    return rows.join(lost.hint("shuffle_hash"), ["row", "part"], "left")
+
+
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, most_share: float = MOST_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, and n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    every = written(lines(docs, least_chars), "lines")
-    bad = small(written(spread(every, sites).where("boilerplate").select("line"), "lines-boilerplate"))
+    bad = small(written(spread(lines(docs, least_chars), sites).where("boilerplate").select("line"), "lines-boilerplate"))
     # equal texts lose equal lines, so that texts are matched by their hash
-    lost = written(every.select("row", "line").distinct().join(bad, "line").groupBy("row").agg(F.collect_list("line").alias("bad")), "lines-of-texts")
-    texts = written(texts_with(docs, lost, least_chars), "lines-in-order")
+    texts = written(texts_with(docs, bad, least_chars), "lines-in-order")
     copied = small(written(copied_lines(texts, sites, most_share), "lines-copied"))
     stay = texts.select("row", F.explode(F.array_distinct("held.line")).alias("line")).join(copied, "line").groupBy("row").agg(F.collect_list("line").alias("stay"))
     copies = texts.join(stay, "row").where(letters(F.filter("held", lambda h: F.array_contains("stay", h["line"])), lambda h: h["chars"]) > most_share * F.col("total"))
-    lost = lost.join(copies.select("row", "stay"), "row", "left").select("row", F.when(F.col("stay").isNull(), F.col("bad")).otherwise(F.array_except("bad", "stay")).alias("bad"))
+    gone = F.array_distinct("held.line")
+    lost = texts.join(copies.select("row", "stay"), "row", "left").select("row", F.when(F.col("stay").isNull(), gone).otherwise(F.array_except(gone, "stay")).alias("bad"))
     # the caller's columns are in a struct, so that no name clashes
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"), "text", F.xxhash64("text").alias("row"))
-    joined = rows.join(lost, "row", "left").withColumn("lines", split_lines())
+    joined = with_lost(rows, lost).withColumn("lines", split_lines())
     is_bad = lambda x: (F.length(F.trim(x)) >= least_chars) & F.array_contains("bad", line_hash(x))
     cut = F.col("bad").isNotNull()
     joined = joined.withColumn("kept", F.when(cut, F.filter("lines", lambda x: ~is_bad(x))))

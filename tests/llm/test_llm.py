@@ -369,6 +369,33 @@ def test_removed_lines_equal_brute_force(spark):
     assert [got[r.doc_id] for r in rows] == without_boilerplate([(r.text, r.source) for r in rows])
 
 
+def shuffled(spark, first):
+    """Bytes written to shuffles by the stages from ``first`` on, and the next stage's number."""
+    store, statuses = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    found = store.stageList(statuses, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), statuses)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(x.shuffleWriteBytes() for x in stages if x.stageId() >= first), max((x.stageId() + 1 for x in stages), default=0)
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """More texts with boilerplate than are broadcast: they still move once; a text of many documents goes to many tasks."""
+    monkeypatch.setattr(line_dedup, "BROADCAST", 100)
+    monkeypatch.setattr(line_dedup, "HOT", 4, raising=False)
+    rng = random.Random(8)
+    foot = "All rights reserved by all of us."
+    texts = [(f"{foot}\n{rng.randbytes(1000).hex()}", f"s{i % 20}") for i in range(2000)] + [(f"{foot}\nshared text of some length", "s1")] * 50 + [("no line of another", "s1")] * 50
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = shuffled(spark, 0)[1]
+        got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [got[i] for i in range(len(texts))] == without_boilerplate(texts)
+    assert 0 < shuffled(spark, first)[0] < 1.5 * sum(len(t) for t, _ in texts)
+
+
 # --- GIF ---------------------------------------------------------------------
 
 
