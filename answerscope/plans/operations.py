@@ -1,5 +1,7 @@
 """Sources, sinks, tenant aggregates, quality gates and streams on the stand-in tables."""
 
+from decimal import Decimal
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,9 +136,10 @@ def gate(runs):
     SELECT run, concat_ws(',', CASE WHEN coverage < 0.6 THEN 'METRIC_COVERAGE_LOW' END, CASE WHEN speculation > 0.5 THEN 'EXCESSIVE_SPECULATION' END) AS blocks, concat_ws(',', CASE WHEN speculation > 0.3 AND speculation <= 0.5 THEN 'HIGH_SPECULATION_RATIO' END, CASE WHEN opinion > 0.6 THEN 'HIGH_OPINION_RATIO' END, CASE WHEN unknown > 0.2 THEN 'HIGH_UNKNOWN_RATIO' END, CASE WHEN weak > 0.6 THEN 'WEAK_EVIDENCE_DOMINANCE' END) AS warnings, coverage >= 0.6 AND speculation <= 0.5 AS publishable FROM r""",
 )
 def _(s, d):
-    share = lambda kind, k=1.0: F.count_if(F.col("event_type") == kind) * k / F.count("*")
+    # factors are decimals, as in the SQL: 17.1 / 57 lies above the double 0.3, while 9 * 1.9 / 57 in doubles is just 0.3
+    share = lambda kind, k="1.0": (F.count_if(F.col("event_type") == kind) * F.lit(Decimal(k))).cast("double") / F.count("*")
     runs = table(s, d, "events").groupBy(F.col("user_id").alias("run")).agg(
-        (F.count_if(F.col("event_type") != "error") / F.count("*")).alias("coverage"), share("view", 1.9).alias("speculation"), share("click", 3.1).alias("opinion"), share("signup").alias("unknown"), share("purchase", 3.3).alias("weak")
+        (F.count_if(F.col("event_type") != "error") / F.count("*")).alias("coverage"), share("view", "1.9").alias("speculation"), share("click", "3.1").alias("opinion"), share("signup").alias("unknown"), share("purchase", "3.3").alias("weak")
     )
     return gate(runs)
 
