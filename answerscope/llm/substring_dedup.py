@@ -155,11 +155,12 @@ def answers(group: pd.DataFrame, marks: bool) -> pd.DataFrame:
     several = (np.diff(np.append(at, len(ordered))) > 1) | ((np.bitwise_or.reduceat(own, at) & IS_TWICE) > 0)
     if marks:
         several &= (np.bitwise_or.reduceat(own, at) & IS_BLOCK) > 0
-    hot = ordered[at[several]]
-    out = []
-    for chunk, codes in zip(group["chunk"], lists, strict=True):
-        mine = codes >> U(2 if marks else 1)
-        mine = mine[np.isin(mine, hot)]
+    # back to the order of the lists, so that no chunk has to search the hot codes of all
+    hot = np.empty(len(plain), dtype=bool)
+    hot[order] = np.repeat(several, np.diff(np.append(at, len(ordered))))
+    out, ends = [], np.cumsum([len(codes) for codes in lists])
+    for chunk, end, codes in zip(group["chunk"], ends.tolist(), lists, strict=True):
+        mine = plain[end - len(codes) : end][hot[end - len(codes) : end]]
         if len(mine):
             out.append((chunk, pack(mine)))
     return pd.DataFrame(out, columns=["chunk", "codes"])

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from answerscope.llm import fingerprints, gif, line_dedup, mixing, near_dedup, packing, pii, queries, secrets, substring_dedup, toxicity, words
 from oracle import connect, same
@@ -511,6 +512,28 @@ def test_repeats_equal_brute_force(spark, chunks):
     assert got == repeats(dict(enumerate(texts)), 35)
 
 
+def test_a_range_answers_many_chunks_without_searching_for_each(monkeypatch):
+    """Answers equal a plain count; what is searched does not grow with the chunks times their common codes."""
+    rng = np.random.default_rng(3)
+    for marks in (True, False):
+        low = 2 if marks else 1
+        lists = [np.unique(rng.integers(0, 900, size=300)) for _ in range(120)]
+        sent = [[(int(c), int(rng.integers(0, 1 << low))) for c in codes] for codes in lists]
+        searched = []
+        plain_isin = np.isin
+        monkeypatch.setattr(np, "isin", lambda a, b, *rest, **k: searched.append(np.size(a) + np.size(b)) or plain_isin(a, b, *rest, **k))
+        group = pd.DataFrame([(0, i, substring_dedup.pack(np.array([c << low | f for c, f in own], dtype=np.uint64))) for i, own in enumerate(sent)], columns=["range", "chunk", "codes"])
+        got = {r.chunk: substring_dedup.unpack(r.codes).tolist() for r in substring_dedup.answers(group, marks).itertuples()}
+        monkeypatch.undo()
+        flags = {}
+        for c, f in itertools.chain(*sent):
+            flags.setdefault(c, []).append(f)
+        hot = {c for c, all_ in flags.items() if (len(all_) > 1 or any(f & 1 for f in all_)) and (not marks or any(f & 2 for f in all_))}
+        want = {i: [c for c, _ in own if c in hot] for i, own in enumerate(sent)}
+        assert hot and got == {i: own for i, own in want.items() if own}
+        assert sum(searched) <= 2 * sum(map(len, sent))
+
+
 def test_word_hashes_follow_words():
     texts = [b"A bb A\x0bc", b"", b"bb", None, " x　".encode()]
     w = words.split(texts)
