@@ -12,8 +12,8 @@ from answerscope.sources.scratch import scratch_path
 from answerscope.streaming import flows, outbox, timed
 
 
-def events(s, d):
-    stream = flows.read(s, f"{d}/events.parquet")
+def events(s, d, per_trigger=100):
+    stream = flows.read(s, f"{d}/events.parquet", per_trigger)
     return stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), "event_type", "value")
 
 
@@ -58,9 +58,10 @@ CALLBACKS = """WITH c AS (SELECT event_id AS id, event_id // 2 AS event, user_id
     FROM f LEFT JOIN (SELECT id, good.token FROM good JOIN used USING (token, k)) u ON u.id = f.id""",
 )
 def _(s, d):
+    # all files in one batch, so that callbacks come in the order of their arrival, whatever the order of the files
     own = F.when(F.col("id") % 10 >= 8, F.col("time") - F.expr("interval 900 seconds")).otherwise(F.col("time"))
     issued = F.col("time") - F.when(F.col("id") % 7 == 0, F.expr("interval 80 hours")).otherwise(F.expr("interval 1 hours"))
-    arrived = events(s, d).select("id", F.expr("id div 2").alias("event"), F.col("key").cast("string").alias("token"), issued.alias("issued"), own.alias("sent"), "time")
+    arrived = events(s, d, None).select("id", F.expr("id div 2").alias("event"), F.col("key").cast("string").alias("token"), issued.alias("issued"), own.alias("sent"), "time")
     accepted, rejected = timed.callbacks(arrived)
     return accepted.union(rejected)
 

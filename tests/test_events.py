@@ -1,7 +1,10 @@
 """Queries on made-up events against their SQL, where the driver's small tables hold no such rows."""
 
+import os
+
 import duckdb
 import pandas as pd
+import pytest
 from answerscope.plans import operations, registry, states  # noqa: F401
 from oracle import same
 
@@ -31,3 +34,20 @@ def test_gate_at_its_thresholds(spark, tmp_path):
                 run += 1
     write(tmp_path, rows)
     check(spark, tmp_path, "q2_publishable_gate")
+
+
+def many_files(path):
+    """More files than a batch of the streams takes by default, the newest events first."""
+    path = path / "events.parquet"
+    path.mkdir()
+    kinds = ("signup", "click", "view", "purchase", "error")
+    for i in range(102):
+        at = (400 - 3 * i) * HOUR
+        write(path, [(10 * i + k, at + 600 * k, i % 4, kinds[(i + k * k) % 5]) for k in range(10)], f"{i:03d}.parquet")
+        os.utime(path / f"{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+@pytest.mark.parametrize("name", ["st9_callback_outcomes"])
+def test_files_in_any_order(spark, tmp_path, name):
+    many_files(tmp_path)
+    check(spark, tmp_path, name, "events.parquet/*.parquet")

@@ -119,6 +119,43 @@ def test_callbacks_are_parted(spark, tmp_path, batches):
     assert set(dict(got).values()) == {"accepted", "late", "replay", "spent_token", "expired_token"}
 
 
+def test_callbacks_out_of_order_all_come_out(spark, tmp_path):
+    """Batches that come the newest first, and keys whose rows lie in many Arrow batches."""
+    rows = callback_rows()
+    stream = source(spark, tmp_path, rows[::-1], "id long, event string, token string, issued_us long, sent_us long, us long", 3, "backwards")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        accepted, rejected = timed.callbacks(stream.withColumn("issued", F.timestamp_micros("issued_us")).withColumn("sent", F.timestamp_micros("sent_us")))
+        got = [tuple(r) for r in accepted.union(rejected).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = expected_callbacks(rows)
+    assert len(got) == len(rows) and set(dict(got)) == set(want)
+    assert {i for i, r in got if r == "late"} == {i for i, r in want.items() if r == "late"}
+
+
+@pytest.mark.parametrize("size", ["3", "10000"])
+def test_sorted_rows_fold_as_each_key_alone(spark, size):
+    """Rows of keys, one of them null, however many an Arrow batch holds, with the state of an earlier batch."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None]), i, 3600 * MICROS * rng.randrange(1, 400), f"t{i % 3}", 0) for i in range(120)]
+    schema, cut = "key string, id long, at long, token string, issued long", 200 * 3600 * MICROS
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted((dict(zip(["id", "at", "token", "issued"], r[1:], strict=True)) for r in rows if r[0] == key), key=lambda r: (r["at"], r["id"]))
+        want += [(key, *r) for r in timed.SEEN.over(own, timed.SEEN.start)[0]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        parts, kept = [], None
+        for part in ([r for r in rows if r[2] < cut], [r for r in rows if r[2] >= cut]):
+            done = timed.folded(spark.createDataFrame(part, schema), kept, timed.SEEN, None).persist()
+            parts += [(r.key, r.id, r.at, r.token, r.issued, r.replay) for r in done.where("not is_state").collect()]
+            kept = done.where("is_state")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(parts, key=str) == sorted(want, key=str) and 4 < sum(not r[5] for r in parts) < 40
+
+
 def test_updated_windows_keep_the_last_count(spark, tmp_path):
     """Windows that several batches change count whole, each once; sessions come when the watermark has closed them."""
     from answerscope.streaming import flows
