@@ -36,6 +36,18 @@ def test_gate_at_its_thresholds(spark, tmp_path):
     check(spark, tmp_path, "q2_publishable_gate")
 
 
+def test_only_the_watermark_runs_items_out_after_the_last_signup(spark, tmp_path):
+    """Items that end in the hour before the last event stay open, whatever else their user does; rows without type or time change nothing."""
+    day, end = 24 * HOUR, 100 * HOUR
+    rows = [(1, end - day - 1800, 1, "signup"), (2, end - 600, 1, "click"), (3, end - day - 2 * HOUR, 2, "signup"), (4, end - 600, 2, "view"), (5, end, 9, "error")]
+    rows += [(6, end - day - 1800, 3, "signup"), (7, end - 600, 3, "purchase"), (8, end - day - 1800, 4, "signup"), (9, end - 600, 4, "signup"), (10, end - day - HOUR, 5, "signup")]
+    rows += [(11, 10 * HOUR, 6, "signup"), (12, 11 * HOUR, 6, None), (13, 10 * HOUR, 7, "signup"), (14, None, 7, "purchase"), (15, None, 7, "signup"), (16, 10 * HOUR, 8, "signup"), (17, 10 * HOUR + day, 8, "purchase")]
+    write(tmp_path, rows)
+    got = {r.key for r in registry.QUERIES["st10_expired_items"](spark, str(tmp_path)).collect()}
+    assert got == {2, 3, 4, 6, 7}
+    check(spark, tmp_path, "st10_expired_items")
+
+
 def many_files(path):
     """More files than a batch of the streams takes by default, the newest events first."""
     path = path / "events.parquet"
@@ -47,7 +59,7 @@ def many_files(path):
         os.utime(path / f"{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
 
 
-@pytest.mark.parametrize("name", ["st9_callback_outcomes"])
+@pytest.mark.parametrize("name", ["st10_expired_items", "st9_callback_outcomes"])
 def test_files_in_any_order(spark, tmp_path, name):
     many_files(tmp_path)
     check(spark, tmp_path, name, "events.parquet/*.parquet")
